@@ -15,7 +15,7 @@ from sirenlens.functions import catalogs as K
 from sirenlens.sources.schema import IDENTITY
 
 c = F.col
-SLICE_US = 10 * K.MINUTE_US
+SLICE_US = K.HOUR_US
 
 
 def is_clear() -> Column:

@@ -3,18 +3,34 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def use_utc(spark: SparkSession) -> SparkSession:
-    """Every date bucket in this package is a UTC date."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+def tune(spark: SparkSession) -> SparkSession:
+    """Runtime settings the jobs rely on.
+
+    Every date bucket is a UTC date. Generated methods above 8,000 bytecodes are never compiled
+    by the JVM's JIT, so such a stage runs faster operator by operator.
+    """
+    for key, value in (
+        ("spark.sql.session.timeZone", "UTC"),
+        ("spark.sql.codegen.hugeMethodLimit", "8000"),
+    ):
+        if spark.conf.get(key) != value:
+            spark.conf.set(key, value)
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer splits than cores the whole cluster; a large scan is untouched."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def local_session(cores: str = "8", name: str = "sirenlens") -> SparkSession:
     """A session for tests and the local benchmark; a cluster supplies its own."""
     spark = (
@@ -28,7 +44,7 @@ def local_session(cores: str = "8", name: str = "sirenlens") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return tune(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +62,17 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+def localize(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """A configuration table as a local relation, so its size is known to every join.
+
+    The size is checked first: a larger table is returned as it is and joined by shuffle.
+    """
+    table = df.limit(max_rows + 1).toArrow()
+    if table.num_rows > max_rows:
+        return df
+    return df.sparkSession.createDataFrame(table, schema=df.schema)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -57,3 +84,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/sirenlens/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Make this package importable in Python workers, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if getattr(context, "_sirenlens_shipped", False):
+        return spark
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp")) / "sirenlens.zip"
+    with zipfile.ZipFile(archive, "w") as bundle:
+        for source in sorted(root.rglob("*.py")):
+            bundle.write(source, str(source.relative_to(root.parent)))
+    context.addPyFile(str(archive))
+    context._sirenlens_shipped = True
+    return spark

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sirenlens.functions.instants import iso_instant
 from sirenlens.functions.scalars import enc_int, enc_text, severity_label, stable_hash
+from sirenlens.session import spread
 from sirenlens.sources.schema import ALERT_COLUMNS
 
 # identical text in Spark SQL and in ANSI SQL engines; {key} varies how many identities there are
@@ -84,7 +85,7 @@ def _document_hash() -> Column:
 def alerts_from_events(spark: SparkSession, sf_dir: str, fan: int | None = None) -> DataFrame:
     """Alert events in the common schema, from ``events.parquet``."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return alerts_from_table(events, fan)
+    return alerts_from_table(spread(events), fan)
 
 
 def alerts_from_table(events: DataFrame, fan: int | None = None) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sirenlens.session import localize
+
 OPERAND = "struct<kind:string,value:string>"
 PREDICATE = (
     "struct<leaf_no:int,kind:string,field:string,op:string,negated:boolean,"
@@ -98,14 +100,19 @@ def registry_from_text(documents: DataFrame) -> Registry:
     )
 
 
+def resident(reg: Registry) -> Registry:
+    """The registry with its tables as local relations (where they are configuration-sized)."""
+    return Registry(*[localize(getattr(reg, f.name)) for f in fields(reg)])
+
+
 def load_registry(spark: SparkSession, path: str) -> Registry:
     """Registry documents from files, hashed over their exact bytes."""
     files = spark.read.format("binaryFile").load(path)
-    return registry_from_text(files.select(F.decode("content", "UTF-8").alias("text")))
+    return resident(registry_from_text(files.select(F.decode("content", "UTF-8").alias("text"))))
 
 
 def registry_from_string(spark: SparkSession, text: str) -> Registry:
-    return registry_from_text(spark.createDataFrame([(text,)], "text string"))
+    return resident(registry_from_text(spark.createDataFrame([(text,)], "text string")))
 
 
 def registry_problems(reg: Registry) -> DataFrame:
