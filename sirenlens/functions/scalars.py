@@ -48,7 +48,8 @@ def ratio(n: Column, d: Column) -> Column:
 def half_up(c: Column, digits: int = 2) -> Column:
     """Display rounding, ties away from zero; a dash for NULL, NaN and infinities."""
     ok = c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
-    shown = F.format_string(f"%.{digits}f", F.round(c.cast("decimal(38,18)"), digits))
+    rounded = F.round(c.cast("decimal(38,18)"), digits)
+    shown = rounded.cast(f"decimal(38,{digits})").cast("string")
     return F.when(ok, shown).otherwise(F.lit("—"))
 
 

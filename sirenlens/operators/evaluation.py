@@ -214,7 +214,7 @@ def corpus_problems(cases: DataFrame) -> DataFrame:
 
     return (
         labels.union(repeated("case id", "case_id"))
-        .union(repeated("identity", "alert_schema", "application", "key_field"))
+        .union(repeated("identity", "application", "key_field"))
         .union(crossing("family crosses splits", c("family")))
         .union(crossing("group crosses splits", group_key()))
     )

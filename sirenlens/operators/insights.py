@@ -350,7 +350,7 @@ def model_findings(alerts: DataFrame) -> DataFrame:
     )
 
 
-def listed(alerts: DataFrame, n: int = 10) -> DataFrame:
+def listed(alerts: DataFrame, n: int = 8) -> DataFrame:
     """Top alerts hidden by every panel (``hidden``) and on no panel (``unseen``) per run, with
     the full list's size per schema."""
     lists = F.array_compact(
