@@ -91,7 +91,7 @@ def summarize_slices(scanned: DataFrame, keys: tuple[str, ...] = IDENTITY) -> Da
     )
 
 
-def _stitch(slices: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+def stitch(slices: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy("slice")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     return slices.withColumn(
@@ -118,8 +118,10 @@ def episode_totals(stitched: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     pieces = stitched.select(*keys, F.inline(parts)).where(c("f").isNotNull())
     merged = pieces.groupBy(*keys, "g").agg(F.sum("f").alias("f"), F.min("at").alias("at"))
     spanning = merged.groupBy(*keys).agg(
-        F.max("f").alias("spanning_fires"), F.max_by(F.struct("f", "at"), "g").alias("last")
-    , F.max("g").alias("last_group"))
+        F.max("f").alias("spanning_fires"),
+        F.max_by(F.struct("f", "at"), "g").alias("last"),
+        F.max("g").alias("last_group"),
+    )
     totals = stitched.groupBy(*keys).agg(
         F.sum(c("fires") + c("clears")).alias("row_count"),
         F.sum("clears").alias("clear_count"),
@@ -145,14 +147,14 @@ def episode_totals(stitched: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def cycle_instants(
-    scanned: DataFrame, stitched: DataFrame, keys: tuple[str, ...] = IDENTITY
+    local: DataFrame, stitched: DataFrame, keys: tuple[str, ...] = IDENTITY
 ) -> DataFrame:
-    """Instants that end a fire-to-clear cycle."""
-    local = scanned.where(c("cycle")).select(*keys, "us")
+    """Instants that end a fire-to-clear cycle: the ones a slice knows itself (``local``) and
+    the ones whose firing came from an earlier slice."""
     edge = stitched.where(c("edge_clear") & c("carried_open")).select(
         *keys, c("first_us").alias("us")
     )
-    return local.union(edge)
+    return local.select(*keys, "us").union(edge)
 
 
 def max_cycles(cycles: DataFrame, keys: tuple[str, ...] = IDENTITY) -> DataFrame:
@@ -188,13 +190,20 @@ def max_cycles(cycles: DataFrame, keys: tuple[str, ...] = IDENTITY) -> DataFrame
     )
 
 
+def firing_from_slices(
+    slices: DataFrame, local_cycles: DataFrame, keys: tuple[str, ...] = IDENTITY
+) -> DataFrame:
+    """Stitch slice summaries, from a batch scan or a stream, into facts per identity."""
+    stitched = stitch(slices, keys)
+    facts = episode_totals(stitched, keys)
+    cycles = max_cycles(cycle_instants(local_cycles, stitched, keys), keys)
+    return with_spans(facts.join(cycles, list(keys), "left"))
+
+
 def firing_facts(rows: DataFrame, keys: tuple[str, ...] = IDENTITY) -> DataFrame:
     """Episode facts of every identity, before the pattern is judged."""
     scanned = scan_slices(instants(rows, keys), keys)
-    stitched = _stitch(summarize_slices(scanned, keys), keys)
-    facts = episode_totals(stitched, keys)
-    cycles = max_cycles(cycle_instants(scanned, stitched, keys), keys)
-    return with_spans(facts.join(cycles, list(keys), "left"))
+    return firing_from_slices(summarize_slices(scanned, keys), scanned.where(c("cycle")), keys)
 
 
 def with_spans(facts: DataFrame) -> DataFrame:

@@ -219,8 +219,8 @@ _fact("e03_largest_episode", ["clear_count", "max_episode_firing_rows"], "clear_
 @query("e04_cycles", sql(f"SELECT {ID_SQL}, us FROM ordered WHERE is_cycle"))
 def e04(spark: SparkSession, sf: str) -> DataFrame:
     scanned = E.scan_slices(E.instants(_scoped(spark, sf)))
-    stitched = E._stitch(E.summarize_slices(scanned), tuple(ID))
-    return E.cycle_instants(scanned, stitched)
+    stitched = E.stitch(E.summarize_slices(scanned), tuple(ID))
+    return E.cycle_instants(scanned.where(c("cycle")), stitched)
 
 
 _fact("e05_rolling_cycles", ["max_clear_cycles_24h"], "max_clear_cycles_24h")
