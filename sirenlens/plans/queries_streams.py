@@ -53,7 +53,8 @@ def _ingested(spark: SparkSession, sf: str) -> str:
     key = _key(spark, sf)
     if key not in _folders:
         folder = f"{shared_dir(spark)}/sirenlens/stream-{uuid.uuid4().hex}"
-        stream = alerts_from_table(X = sample.registry(spark)
+        stream = alerts_from_table(_staged(spark, sf, f"{folder}/in", late=True))
+        reg = sample.registry(spark)
         plans = localize(V.panel_plans(reg, V.number_leaves(V.interpret_leaves(reg))))
         S.ingest(stream, _scope(spark), plans, f"{folder}/facts", K.DAY_US)
         _folders[key] = f"{folder}/facts"
@@ -61,7 +62,6 @@ def _ingested(spark: SparkSession, sf: str) -> str:
 
 
 
-
 def _kept_sql(final: str) -> str:
     """The batch SQL over the rows that were not late."""
     return sql(final).replace("FROM events) e", f"FROM events WHERE NOT ({LATE})) e")
