@@ -366,14 +366,14 @@ def v03(spark: SparkSession, sf: str) -> DataFrame:
 @query("v04_leaf_excludes_row", sql("SELECT run_id, seq, list_aggregate(list_filter(CASE WHEN team_id = 'team-a' AND alert_schema = 'v1' THEN [CASE WHEN hit_node THEN '0' END, CASE WHEN hit_like THEN '1' END] WHEN team_id = 'team-a' THEN [CASE WHEN hit_app THEN '0' END] ELSE [CASE WHEN hit_node THEN '1' END] END, lambda x: x IS NOT NULL), 'string_agg', ',') AS hits FROM judged WHERE (team_id = 'team-a' AND alert_schema = 'v2' AND hit_app) OR (alert_schema = 'v1' AND (hit_node OR (team_id = 'team-a' AND hit_like)))"))
 def v04(spark: SparkSession, sf: str) -> DataFrame:
     a = window_analysis(spark, sf)
-    marked = V.mark_visibility(a.scoped, V.panel_plans(sample.registry(spark), a.leaves))
+    marked = V.mark_visibility(a.scoped, a.panel_plans)
     return marked.where(F.size("hit_leaves") > 0).select("run_id", "seq", F.array_join("hit_leaves", ",").alias("hits"))
 
 
 @query("v05_leaf_hides_row", sql("SELECT run_id, seq FROM judged WHERE hides_b1"))
 def v05(spark: SparkSession, sf: str) -> DataFrame:
     a = window_analysis(spark, sf)
-    marked = V.mark_visibility(a.scoped, V.panel_plans(sample.registry(spark), a.leaves))
+    marked = V.mark_visibility(a.scoped, a.panel_plans)
     return marked.where("hidden").select("run_id", "seq")
 
 
@@ -421,7 +421,7 @@ def v10(spark: SparkSession, sf: str) -> DataFrame:
 @query("v10_unmeasured_notes", sql("SELECT r.run_id, 'A3' AS panel_id, 'application - blast radius ' || app_n || '/' || total || ' exceeds 50% of owned rows; routed to human review' AS note FROM runs r JOIN guard g ON g.run_id = r.run_id AND alert_schema = 'v2' AND 2 * app_n > total WHERE team_id = 'team-a' UNION ALL SELECT run_id, 'B1', 'node_name - identity leaf is nested inside OR/NOT and cannot be evaluated safely' FROM runs WHERE team_id = 'team-b'"))
 def v10b(spark: SparkSession, sf: str) -> DataFrame:
     a = window_analysis(spark, sf)
-    return V.visibility_notes(sample.registry(spark), a.guarded, a.runs).select("run_id", "panel_id", "note")
+    return V.visibility_notes(a.reg, a.guarded, a.runs).select("run_id", "panel_id", "note")
 
 
 @query("v11_suppression_findings", sql(f"SELECT {ID_SQL}, CAST(r5 AS BIGINT) AS matched_rows, CASE WHEN team_id = 'team-b' THEN 'B1' WHEN alert_schema = 'v1' THEN 'A1,A2' ELSE 'A3' END AS panels FROM rolled WHERE r5 > 0", "wide"))
@@ -436,7 +436,7 @@ def v11(spark: SparkSession, sf: str) -> DataFrame:
 FROM runs r CROSS JOIN (VALUES ('A1', 'team-a', 'v1'), ('A2', 'team-a', 'v1'), ('A3', 'team-a', 'v2'), ('B1', 'team-b', 'v1')) x(p, t, s) JOIN unmeasured m ON m.run_id = r.run_id AND m.alert_schema = s WHERE x.t = r.team_id"""))
 def v12(spark: SparkSession, sf: str) -> DataFrame:
     a = window_analysis(spark, sf)
-    rows = V.panel_participation(sample.registry(spark), a.guarded, a.runs)
+    rows = V.panel_participation(a.reg, a.guarded, a.runs)
     return rows.select("run_id", "panel_id", *n("suppression_leaves", "unmeasured_leaves"), "safety_state")
 
 

@@ -12,7 +12,7 @@ from sirenlens.operators.planning import run_health, week_outcomes
 from sirenlens.operators.published import Store, all_rule_ids
 from sirenlens.operators.window import span_of
 from sirenlens.plans import sample
-from sirenlens.plans.team_week import Analysis, Facts, analyze, compute_facts
+from sirenlens.plans.team_week import Analysis, Facts, compute_facts
 from sirenlens.session import materialize, ship_package, tune
 from sirenlens.sources.events import alerts_from_events
 
@@ -147,7 +147,7 @@ def window_analysis(spark: SparkSession, sf_dir: str, fan: int | None = None) ->
     if key not in _analyses:
         tune(spark)
         specs = sample.window_specs()
-        _analyses[key] = analyze(
+        _analyses[key] = Analysis(
             alerts_from_events(spark, sf_dir, fan),
             sample.registry(spark),
             sample.runs(spark, specs),
@@ -161,7 +161,7 @@ def weekly_analysis(spark: SparkSession, sf_dir: str) -> Analysis:
     if key not in _analyses:
         tune(spark)
         specs = sample.weekly_specs()
-        _analyses[key] = analyze(
+        _analyses[key] = Analysis(
             alerts_from_events(spark, sf_dir, sample.FAN),
             sample.registry(spark),
             sample.runs(spark, specs),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,53 +25,73 @@ c = F.col
 ID = list(IDENTITY)
 
 
-@dataclass(frozen=True)
 class Analysis:
-    """Deterministic results, before the classifier."""
-
-    runs: DataFrame
-    scoped: DataFrame
-    leaves: DataFrame
-    signatures: DataFrame
-    guarded: DataFrame
-    active: DataFrame
-    representatives: DataFrame
-    firing: DataFrame
-    identity_days: DataFrame
-    identities: DataFrame
-    unmeasured: DataFrame
-
-
-def analyze(
-    alerts: DataFrame,
-    reg: Registry,
-    runs: DataFrame,
-    span: tuple[datetime, datetime],
-    cut: bool = False,
-) -> Analysis:
-    """Rules, panels, episodes and identities of every run in ``runs``.
+    """Deterministic results of every run in ``runs``, before the classifier: rules, panels,
+    episodes and identities. Each step is planned when it is first asked for.
 
     With ``cut`` the small intermediates that several facts read (signatures, identity days,
     identities) are written once and read back.
     """
 
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        return materialize(df, name) if cut else df
-
-    scoped = scope_alerts(alerts, reg.team_operators, runs, span)
-    leaves = localize(V.number_leaves(V.interpret_leaves(reg)))
-    plans = localize(V.panel_plans(reg, leaves))
-    sigs = keep(V.signatures(scoped, plans), "signatures")
-    guarded = V.guard_leaves(sigs, leaves, runs)
-    active = V.active_panels(reg, guarded, runs)
-    reps = keep(I.representatives(scoped), "representatives")
-    firing = keep(I.judged_firing(E.firing_facts(scoped), reps), "firing")
-    days = keep(I.identity_days(V.resolve_visibility(sigs, active), firing), "identity-days")
-    ids = keep(I.identities(days, reps, firing), "identities")
-    return Analysis(
-        runs, scoped, leaves, sigs, guarded, active, reps, firing, days, ids,
-        V.unmeasured_counts(reg, guarded, runs),
-    )
+    def __init__(
+        self,
+        alerts: DataFrame,
+        reg: Registry,
+        runs: DataFrame,
+        span: tuple[datetime, datetime],
+        cut: bool = False,
+    ) -> None:
+        self.alerts, self.reg, self.runs, self.span, self.cut = alerts, reg, runs, span, cut
+
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name) if self.cut else df
+
+    @cached_property
+    def scoped(self) -> DataFrame:
+        return scope_alerts(self.alerts, self.reg.team_operators, self.runs, self.span)
+
+    @cached_property
+    def leaves(self) -> DataFrame:
+        return localize(V.number_leaves(V.interpret_leaves(self.reg)))
+
+    @cached_property
+    def panel_plans(self) -> DataFrame:
+        return localize(V.panel_plans(self.reg, self.leaves))
+
+    @cached_property
+    def signatures(self) -> DataFrame:
+        return self._keep(V.signatures(self.scoped, self.panel_plans), "signatures")
+
+    @cached_property
+    def guarded(self) -> DataFrame:
+        return V.guard_leaves(self.signatures, self.leaves, self.runs)
+
+    @cached_property
+    def active(self) -> DataFrame:
+        return V.active_panels(self.reg, self.guarded, self.runs)
+
+    @cached_property
+    def unmeasured(self) -> DataFrame:
+        return V.unmeasured_counts(self.reg, self.guarded, self.runs)
+
+    @cached_property
+    def representatives(self) -> DataFrame:
+        return self._keep(I.representatives(self.scoped), "representatives")
+
+    @cached_property
+    def firing(self) -> DataFrame:
+        judged = I.judged_firing(E.firing_facts(self.scoped), self.representatives)
+        return self._keep(judged, "firing")
+
+    @cached_property
+    def identity_days(self) -> DataFrame:
+        resolved = V.resolve_visibility(self.signatures, self.active)
+        return self._keep(I.identity_days(resolved, self.firing), "identity-days")
+
+    @cached_property
+    def identities(self) -> DataFrame:
+        ids = I.identities(self.identity_days, self.representatives, self.firing)
+        return self._keep(ids, "identities")
 
 
 def representative_document() -> Column:
@@ -266,7 +287,7 @@ def compute_facts(
     disabled_reason: str = "LLM assessment did not run",
 ) -> Facts:
     """Run the whole job. Without ``call`` every eligible identity is unassessed, with a reason."""
-    a = analyze(alerts, reg, runs, span, cut=True)
+    a = Analysis(alerts, reg, runs, span, cut=True)
     batches = attempts = fresh = None
     if call is None:
         outcomes = L.mark_unassessed(a.identities.where(c("llm_eligible")), disabled_reason)

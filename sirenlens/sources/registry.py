@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,17 +38,20 @@ class Registry:
     panel_predicates: DataFrame
 
 
-def registry_from_text(documents: DataFrame) -> Registry:
-    """``documents`` has one registry document per row in ``text``."""
+def registry_entries(documents: DataFrame) -> DataFrame:
+    """One row per team entry of the registry documents in ``text``."""
     loaded = documents.select(
         F.sha2("text", 256).alias("registry_sha256"),
         F.from_json("text", DOCUMENT).alias("d"),
     )
-    entries = loaded.select(
+    return loaded.select(
         "registry_sha256",
         F.col("d.registry_version").alias("registry_version"),
         F.posexplode("d.teams").alias("entry_no", "t"),
     )
+
+
+def registry_tables(entries: DataFrame) -> Registry:
     teams = entries.select(
         "registry_sha256",
         "registry_version",
@@ -100,19 +103,24 @@ def registry_from_text(documents: DataFrame) -> Registry:
     )
 
 
-def resident(reg: Registry) -> Registry:
-    """The registry with its tables as local relations (where they are configuration-sized)."""
-    return Registry(*[localize(getattr(reg, f.name)) for f in fields(reg)])
+def registry_from_text(documents: DataFrame) -> Registry:
+    return registry_tables(registry_entries(documents))
+
+
+def resident(documents: DataFrame) -> Registry:
+    """The registry over local entries, so every join knows how small it is (a registry beyond
+    configuration size stays distributed)."""
+    return registry_tables(localize(registry_entries(documents)))
 
 
 def load_registry(spark: SparkSession, path: str) -> Registry:
     """Registry documents from files, hashed over their exact bytes."""
     files = spark.read.format("binaryFile").load(path)
-    return resident(registry_from_text(files.select(F.decode("content", "UTF-8").alias("text"))))
+    return resident(files.select(F.decode("content", "UTF-8").alias("text")))
 
 
 def registry_from_string(spark: SparkSession, text: str) -> Registry:
-    return resident(registry_from_text(spark.createDataFrame([(text,)], "text string")))
+    return resident(spark.createDataFrame([(text,)], "text string"))
 
 
 def registry_problems(reg: Registry) -> DataFrame:
