@@ -18,7 +18,7 @@ from sirenlens.functions import catalogs as K
 from sirenlens.functions.scalars import enc_int, enc_list, enc_text, stable_hash
 from sirenlens.functions.text import field_in, is_blank
 from sirenlens.operators.ordered import with_running
-from sirenlens.session import materialize
+from sirenlens.session import materialize, together
 from sirenlens.sources.schema import IDENTITY
 
 c = F.col
@@ -406,11 +406,12 @@ def assess(
     todo = request_table
     verdicts: DataFrame | None = None
     attempts: DataFrame | None = None
-    results: DataFrame | None = None
     for attempt in range(1, K.MAX_ATTEMPTS + 1):
         answered = materialize(call_batches(todo, call, attempt), f"responses-{attempt}")
         good, results = validate_responses(answered, members)
-        results = materialize(results, f"results-{attempt}")
+        good, results = together(
+            lambda g=good: materialize(g, "verdicts"), lambda r=results: materialize(r, "results")
+        )
         logged = answered.join(results, BATCH).select(
             *BATCH,
             "attempt_number",
@@ -424,10 +425,11 @@ def assess(
         )
         verdicts = good if verdicts is None else verdicts.union(good)
         attempts = logged if attempts is None else attempts.union(logged)
-        todo = request_table.join(
-            results.where(c("rejected_because").isNotNull()).select(*BATCH), BATCH, "left_semi"
-        )
-    assert verdicts is not None and attempts is not None and results is not None
+        rejected = results.where(c("rejected_because").isNotNull()).select(*BATCH)
+        if rejected.isEmpty():
+            break
+        todo = request_table.join(rejected, BATCH, "left_semi")
+    assert verdicts is not None and attempts is not None
     last = attempts.where((c("attempt_number") == K.MAX_ATTEMPTS) & (c("status") != "succeeded"))
     failed = last.select(
         *BATCH,

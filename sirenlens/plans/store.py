@@ -13,7 +13,7 @@ from sirenlens.operators.published import Store, all_rule_ids
 from sirenlens.operators.window import span_of
 from sirenlens.plans import sample
 from sirenlens.plans.team_week import Analysis, Facts, compute_facts
-from sirenlens.session import materialize, ship_package, tune
+from sirenlens.session import materialize, ship_package, together, tune
 from sirenlens.sources.events import alerts_from_events
 
 c = F.col
@@ -115,28 +115,23 @@ def stored(spark: SparkSession, sf_dir: str) -> Tables:
             sample.scripted_call,
         )
         assert f.batches and f.attempts and f.new_verdicts and f.outcomes
-        runs = materialize(f.runs, "runs")
-        findings = materialize(f.alert_findings, "alert-findings")
-        kept = Facts(
-            runs=runs,
-            daily_metrics=materialize(f.daily_metrics, "daily-metrics"),
-            daily_rule_counts=materialize(f.daily_rule_counts, "daily-rule-counts"),
-            alert_findings=findings,
-            run_panels=materialize(f.run_panels, "run-panels"),
-            batches=f.batches,
-            attempts=materialize(f.attempts, "attempts"),
-            new_verdicts=materialize(f.new_verdicts, "verdicts"),
-            outcomes=f.outcomes,
+
+        def written(**tables: DataFrame) -> list[DataFrame]:
+            return together(*[lambda n=n, d=d: materialize(d, n) for n, d in tables.items()])
+
+        runs, metrics, counts, findings, panels, attempts, verdicts = written(
+            runs=f.runs, metrics=f.daily_metrics, counts=f.daily_rule_counts,
+            findings=f.alert_findings, panels=f.run_panels, attempts=f.attempts,
+            verdicts=f.new_verdicts,
         )
-        store = Store(
-            runs=runs,
-            daily_metrics=kept.daily_metrics,
-            daily_rule_counts=kept.daily_rule_counts,
-            alert_findings=findings,
-            publications=materialize(publications_of(runs), "publications"),
-            decisions=materialize(decisions_of(findings), "decisions"),
-            log=materialize(schedule_log(runs, findings), "log"),
+        publications, decisions, log = written(
+            publications=publications_of(runs), decisions=decisions_of(findings),
+            log=schedule_log(runs, findings),
+        )
+        kept = Facts(
+            runs, metrics, counts, findings, panels, f.batches, attempts, verdicts, f.outcomes
         )
+        store = Store(runs, metrics, counts, findings, publications, decisions, log)
         _stores[key] = Tables(store, kept)
     return _stores[key]
 

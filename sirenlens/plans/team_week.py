@@ -17,7 +17,7 @@ from sirenlens.operators import suppression as V
 from sirenlens.operators import volume as D
 from sirenlens.operators.rules import phase_of
 from sirenlens.operators.window import day_buckets, scope_alerts
-from sirenlens.session import localize, materialize
+from sirenlens.session import localize, materialize, together
 from sirenlens.sources.registry import Registry
 from sirenlens.sources.schema import IDENTITY
 
@@ -46,6 +46,12 @@ class Analysis:
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         return materialize(df, name) if self.cut else df
 
+    def prefetch(self) -> Analysis:
+        """The three passes over the rows are independent of each other: run them side by side."""
+        self.scoped, self.panel_plans  # noqa: B018 - shared inputs, planned once
+        together(lambda: self.signatures, lambda: self.representatives, lambda: self.episodes)
+        return self
+
     @cached_property
     def scoped(self) -> DataFrame:
         return scope_alerts(self.alerts, self.reg.team_operators, self.runs, self.span)
@@ -78,10 +84,13 @@ class Analysis:
     def representatives(self) -> DataFrame:
         return self._keep(I.representatives(self.scoped), "representatives")
 
+    @cached_property
+    def episodes(self) -> DataFrame:
+        return self._keep(E.firing_facts(self.scoped), "episodes")
+
     @cached_property
     def firing(self) -> DataFrame:
-        judged = I.judged_firing(E.firing_facts(self.scoped), self.representatives)
-        return self._keep(judged, "firing")
+        return I.judged_firing(self.episodes, self.representatives)
 
     @cached_property
     def identity_days(self) -> DataFrame:
@@ -287,7 +296,7 @@ def compute_facts(
     disabled_reason: str = "LLM assessment did not run",
 ) -> Facts:
     """Run the whole job. Without ``call`` every eligible identity is unassessed, with a reason."""
-    a = Analysis(alerts, reg, runs, span, cut=True)
+    a = Analysis(alerts, reg, runs, span, cut=True).prefetch()
     batches = attempts = fresh = None
     if call is None:
         outcomes = L.mark_unassessed(a.identities.where(c("llm_eligible")), disabled_reason)

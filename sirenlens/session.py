@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import tempfile
-import zipfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Runtime settings the jobs rely on.
@@ -87,6 +92,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def together(*jobs: Callable[[], T]) -> list[T]:
+    """Run independent jobs side by side, so a small one does not wait for another's last task."""
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        return list(pool.map(lambda job: job(), jobs))
+
+
 def ship_package(spark: SparkSession) -> SparkSession:
     """Make this package importable in Python workers, as ``--py-files`` would."""
     context = spark.sparkContext
