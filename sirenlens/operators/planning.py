@@ -137,26 +137,58 @@ def check_publications(
     """Why each candidate week (``run_id, team_id, window_start, window_end``) may not be
     published next to its team's current weeks; NULL ``refused`` means it may.
 
-    Neighbours are found per team with aggregates over the joined weeks (a team has few).
+    Weeks that could overlap share a week-long time cell with the candidate, so they are found by
+    an equi-join; the neighbours come from one ordered pass per team. No week is compared with
+    every other.
     """
+    cell_us = K.WINDOW_HOURS * K.HOUR_US
+    keys = ["run_id", "team_id", "window_start", "window_end"]
     weeks = current_publications(publications).select(
         "team_id",
         c("run_id").alias("w_run"),
         c("window_start").alias("w_start"),
         c("window_end").alias("w_end"),
     )
+
+    def cells(start: str, end: str) -> Column:
+        first = F.floor(F.unix_micros(start) / cell_us)
+        return F.explode(F.sequence(first, F.floor((F.unix_micros(end) - 1) / cell_us)))
+
+    near = candidates.withColumn("cell", cells("window_start", "window_end")).join(
+        weeks.withColumn("cell", cells("w_start", "w_end")), ["team_id", "cell"]
+    )
     same = (c("w_start") == c("window_start")) & (c("w_end") == c("window_end"))
-    overlap = (c("w_start") < c("window_end")) & (c("window_start") < c("w_end")) & ~same
-    joined = candidates.join(weeks, "team_id", "left")
-    keys = ["run_id", "team_id", "window_start", "window_end"]
-    seen = joined.groupBy(*keys).agg(
-        F.max(F.coalesce(c("w_run") == c("run_id"), F.lit(False))).alias("again"),
-        F.max(F.coalesce(same, F.lit(False))).alias("taken"),
-        F.max(F.coalesce(overlap, F.lit(False))).alias("overlaps"),
-        F.max(F.when(c("w_end") <= c("window_start"), c("w_end"))).alias("before_end"),
-        F.min(F.when(c("w_start") >= c("window_end"), c("w_start"))).alias("after_start"),
-    )
-    exact = F.unix_micros("window_end") - F.unix_micros("window_start") == K.WINDOW_HOURS * K.HOUR_US
+    crossing = (c("w_start") < c("window_end")) & (c("window_start") < c("w_end")) & ~same
+    touched = near.groupBy(*keys).agg(F.max(same).alias("taken"), F.max(crossing).alias("overlaps"))
+    again = candidates.join(
+        weeks.select("team_id", c("w_run").alias("run_id")), ["team_id", "run_id"], "left_semi"
+    ).select(*keys, F.lit(True).alias("again"))
+
+    none = F.lit(None).cast("timestamp")
+    asked = candidates.select(*keys)
+    blank = [F.lit(None).cast(kind).alias(name) for name, kind in asked.dtypes if name != "team_id"]
+    marks = weeks.select("team_id", *blank, "w_start", "w_end")
+    # a week sorts before a candidate at the same instant
+    ends = asked.select("*", none.alias("w_start"), none.alias("w_end")).unionByName(marks)
+    back = Window.partitionBy("team_id").orderBy(
+        F.coalesce("w_end", "window_start"), c("w_end").isNull()
+    ).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("team_id").orderBy(
+        F.coalesce("w_start", "window_end").desc(), c("w_start").isNull()
+    ).rowsBetween(Window.unboundedPreceding, -1)
+    neighbours = (
+        ends.withColumn("before_end", F.max("w_end").over(back))
+        .withColumn("after_start", F.min("w_start").over(ahead))
+        .where(c("w_end").isNull())
+        .drop("w_start", "w_end")
+    )
+    no = F.lit(False)
+    seen = (
+        neighbours.join(touched, keys, "left")
+        .join(again, keys, "left")
+        .fillna(False, subset=["taken", "overlaps", "again"])
+    )
+    exact = F.unix_micros("window_end") - F.unix_micros("window_start") == cell_us
     gaps = F.lit(not allow_gap) & ~c("taken")
     refused = (
         F.when(~exact, "not 168 hours")
@@ -164,8 +196,8 @@ def check_publications(
         .when(c("taken") & F.lit(not replace), "week already published")
         .when(~c("taken") & F.lit(replace), "nothing to replace")
         .when(c("overlaps"), "overlaps a published week")
-        .when(gaps & (c("before_end") < c("window_start")), "gap after the previous week")
-        .when(gaps & (c("after_start") > c("window_end")), "gap before the next week")
+        .when(gaps & F.coalesce(c("before_end") < c("window_start"), no), "gap after the previous week")
+        .when(gaps & F.coalesce(c("after_start") > c("window_end"), no), "gap before the next week")
     )
     return seen.select(*keys, refused.alias("refused"))
 

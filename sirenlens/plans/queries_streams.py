@@ -88,9 +88,12 @@ _FIRING_COLUMNS = ("row_count", "clear_count", "max_clear_cycles_24h", "max_epis
 def t03(spark: SparkSession, sf: str) -> DataFrame:
     ship_package(spark)
     folder = f"{shared_dir(spark)}/sirenlens/state-{uuid.uuid4().hex}"
-    # the watermark sees every row; the window is applied after it
-    stream = alerts_from_table(_staged(spark, sf, f"{folder}/in")).withWatermark("ts", "1 day")
-    slices = S.drain(S.slice_stream(_scope(spark)(stream)), f"{folder}/slices")
+    rows = alerts_from_table(_staged(spark, sf, f"{folder}/in")).withWatermark("ts", "1 day")
+    instants = S.drain(S.instant_stream(rows), f"{folder}/instants")
+    # the watermark sees every instant; the runs' windows apply after it
+    again = S.read_stream(spark, f"{folder}/instants", instants.schema, files_per_batch=8)
+    owned = _scope(spark)(again.withWatermark("ts", "1 day"))
+    slices = S.drain(S.slice_stream(owned), f"{folder}/slices")
     return S.firing_of_slices(slices).select(*ID, *n(*_FIRING_COLUMNS))
 
 

@@ -186,26 +186,39 @@ def _hold_slice(
         yield frame
         return
     for frame in frames:
-        counted = frame.groupby("us")["clear"].agg(["size", "sum"])
-        for us, size, clears in counted.itertuples():
+        for us, fires, clears in frame[["us", "fires", "clears"]].itertuples(index=False):
             entry = held.setdefault(int(us), [0, 0])
-            entry[0] += int(size - clears)
+            entry[0] += int(fires)
             entry[1] += int(clears)
     state.update((list(held), [v[0] for v in held.values()], [v[1] for v in held.values()]))
     end_ms = (int(key[4]) + 1) * E.SLICE_US // 1000
     state.setTimeoutTimestamp(max(end_ms, state.getCurrentWatermarkMs() + 1))
 
 
+INSTANT_KEYS = ["alert_schema", "operator", "application", "key_field"]
+
+
+def instant_stream(alerts: DataFrame) -> DataFrame:
+    """First hop: rows become instants in a streaming aggregate, which pre-aggregates in each map
+    task and releases an instant once the watermark on ``ts`` has passed it."""
+    return (
+        alerts.withColumn("clear", E.is_clear())
+        .groupBy(*INSTANT_KEYS, "ts")
+        .agg(F.count_if(~c("clear")).alias("fires"), F.count_if(c("clear")).alias("clears"))
+    )
+
+
 def slice_stream(owned: DataFrame) -> DataFrame:
-    """Slice summaries of a stream of owned rows that carries a watermark on ``ts``.
+    """Second hop: slice summaries of a stream of owned instants that carries a watermark on
+    ``ts``.
 
     State is keyed by identity and slice, so it is bounded by a slice's clock resolution and a
     hot identity spreads over its slices.
     """
-    rows = owned.select(
-        *ID, "ts", F.unix_micros("ts").alias("us"), E.is_clear().alias("clear")
+    placed = owned.select(
+        *ID, "ts", F.unix_micros("ts").alias("us"), "fires", "clears"
     ).withColumn("slice", E.slice_of(c("us")))
-    return rows.groupBy(*ID, "slice").applyInPandasWithState(
+    return placed.groupBy(*ID, "slice").applyInPandasWithState(
         _hold_slice, SLICE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
     )
 
