@@ -91,7 +91,7 @@ def t03(spark: SparkSession, sf: str) -> DataFrame:
     rows = alerts_from_table(_staged(spark, sf, f"{folder}/in")).withWatermark("ts", "1 day")
     instants = S.drain(S.instant_stream(rows), f"{folder}/instants")
     # the watermark sees every instant; the runs' windows apply after it
-    again = S.read_stream(spark, f"{folder}/instants", instants.schema, files_per_batch=8)
+    again = S.read_stream(spark, f"{folder}/instants", instants.schema)
     owned = _scope(spark)(again.withWatermark("ts", "1 day"))
     slices = S.drain(S.slice_stream(owned), f"{folder}/slices")
     return S.firing_of_slices(slices).select(*ID, *n(*_FIRING_COLUMNS))

@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from pathlib import Path
 from typing import TypeVar
 
@@ -98,6 +99,19 @@ def together(*jobs: Callable[[], T]) -> list[T]:
         return list(pool.map(lambda job: job(), jobs))
 
 
+@contextmanager
+def state_partitions(spark: SparkSession) -> Iterator[None]:
+    """Stateful streams are not re-planned at run time and keep the partition count they start
+    with: start them with at most one partition per core of the cluster."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def ship_package(spark: SparkSession) -> SparkSession:
     """Make this package importable in Python workers, as ``--py-files`` would."""
     context = spark.sparkContext

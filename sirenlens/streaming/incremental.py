@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sirenlens.operators import episodes as E
 from sirenlens.operators import suppression as V
+from sirenlens.session import state_partitions
 from sirenlens.sources.schema import IDENTITY
 
 c = F.col
@@ -82,13 +83,14 @@ def ingest_batch(scope, plans: DataFrame, folder: str, delay_us: int):
 
 def ingest(alerts: DataFrame, scope, plans: DataFrame, folder: str, delay_us: int) -> None:
     """Drain the available input into partial facts and stop."""
-    (
-        alerts.writeStream.foreachBatch(ingest_batch(scope, plans, folder, delay_us))
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
+    with state_partitions(alerts.sparkSession):
+        (
+            alerts.writeStream.foreachBatch(ingest_batch(scope, plans, folder, delay_us))
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+            .awaitTermination()
+        )
 
 
 def merged_signatures(spark: SparkSession, folder: str) -> DataFrame:
@@ -230,15 +232,16 @@ def firing_of_slices(slices: DataFrame) -> DataFrame:
 
 def drain(stream: DataFrame, path: str) -> DataFrame:
     """Run an append stream over the available input into Parquet and read it back."""
-    (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", f"{path}-checkpoint")
-        .option("path", path)
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
+    with state_partitions(stream.sparkSession):
+        (
+            stream.writeStream.format("parquet")
+            .outputMode("append")
+            .option("checkpointLocation", f"{path}-checkpoint")
+            .option("path", path)
+            .trigger(availableNow=True)
+            .start()
+            .awaitTermination()
+        )
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
