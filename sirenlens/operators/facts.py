@@ -124,7 +124,8 @@ def replace_runs(df: DataFrame, path: str, publications: DataFrame | None = None
         if blocked:
             raise ValueError("a published run may not be replaced; withdraw it first")
     (
-        df.repartition("run_id")
+        # gathers a run's rows into few files, and still splits a run that is too big for one task
+        df.hint("rebalance", "run_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("run_id")
