@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sirenlens.llm import lines, mixing, tokens
+from sirenlens.llm import jaccard, lines, mixing, tokens
 from sirenlens.llm.common import prepared, table
 from sirenlens.session import shared_dir
 
@@ -43,3 +43,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_to_targets(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+@query("op7_ngram_jaccard")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
