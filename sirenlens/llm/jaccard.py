@@ -8,9 +8,9 @@ fragment counts partial overlaps on its own, and the counts are summed:
 2. for each candidate pair of distinct sets: the n-grams they share, fragment by fragment.
 
 Candidates share an n-gram of their prefixes (rarest first), as any linked pair must. A frequent
-n-gram is never expanded into all its pairs at once: its holders are compared with one of them,
-what links is merged, and only pairs of different components are compared further. A pair inside a
-component cannot change any component, so no component is lost.
+n-gram is never expanded into all its pairs at once: its holders are compared with a hub among
+them, what links is merged, and only pairs of different components are compared further. A pair
+inside a component cannot change any component, so no component is lost.
 """
 
 from __future__ import annotations
@@ -234,7 +234,7 @@ def _reaches(overlap: Column, n: Column, m: Column, percent: int) -> Column:
 
 
 def prefixes(segments: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``gram, set_id, n, pos`` of the prefix n-grams that several sets have, rarest first.
+    """``gram, set_id, n, alone, pos`` of the prefix n-grams that several sets have, rarest first.
 
     ``pos`` is the place in the set's whole order. N-grams of one set only come first there; they
     are part of the prefix but meet nobody.
@@ -251,7 +251,7 @@ def prefixes(segments: DataFrame, percent: int = PERCENT) -> DataFrame:
     ordered = ordered.withColumn("alone", alone).where(length > alone)
     ordered = ordered.withColumn("held", F.slice("held", F.lit(1), (length - alone).cast("int")))
     return ordered.select("set_id", "n", "alone", F.posexplode("held").alias("k", "g")).select(
-        F.col("g.gram").alias("gram"), "set_id", "n", (F.col("alone") + F.col("k")).alias("pos")
+        F.col("g.gram").alias("gram"), "set_id", "n", "alone", (F.col("alone") + F.col("k")).alias("pos")
     )
 
 
@@ -272,23 +272,45 @@ def _fits(one: str, two: str, percent: int) -> Column:
     return _can_link(n, m, percent) & _reaches(rest, n, m, percent)
 
 
-def linked_sets(segments: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links between distinct sets that give the components of all links."""
-    prefix = materialize(prefixes(segments, percent), "ngram-prefixes")
-    hub = prefix.groupBy("gram").agg(F.min(F.struct("set_id", "n", "pos")).alias("hub"))
-    hub = hub.select("gram", "hub.*")
-    near = prefix.alias("x").join(hub.alias("y"), "gram").where("x.set_id > y.set_id").where(_fits("x", "y", percent))
-    pairs = near.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
-    first = materialize(overlapping(pairs, segments, percent), "ngram-links")
-    # what the hubs have not joined: pairs of different components within an n-gram
-    found = components(first).withColumnRenamed("node", "set_id")
-    parts = prefix.join(found, "set_id", "left").withColumn("part", F.coalesce("root", "set_id")).drop("root")
-    parts = materialize(parts, "ngram-parts")
+def _with_parts(prefix: DataFrame, links: DataFrame) -> DataFrame:
+    """The n-grams whose holders are not all joined yet; each holder with its component ``part``."""
+    found = components(links).withColumnRenamed("node", "set_id")
+    parts = prefix.join(found, "set_id", "left").withColumn("part", F.coalesce("root", "set_id"))
+    parts = materialize(parts.drop("root"), "ngram-parts")
     mixed = parts.groupBy("gram").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
-    left = parts.join(mixed.select("gram"), "gram")
-    rest = left.alias("x").join(left.alias("y"), "gram").where("x.part > y.part").where(_fits("x", "y", percent))
-    pairs = rest.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
-    return first.unionByName(materialize(overlapping(pairs, segments, percent), "ngram-links"))
+    return parts.join(mixed.select("gram"), "gram")
+
+
+def _hubs(holders: DataFrame) -> DataFrame:
+    """Of each n-gram's holders the one with the fewest n-grams of its own: the likeliest original."""
+    hub = holders.groupBy("gram").agg(F.min(F.struct("alone", "set_id", "n", "pos", "part")).alias("hub"))
+    return hub.select("gram", "hub.*")
+
+
+def _pairs(x: DataFrame, y: DataFrame, different: Column, percent: int) -> DataFrame:
+    near = x.alias("x").join(y.alias("y"), "gram").where(different).where(_fits("x", "y", percent))
+    one, two = F.col("x.set_id"), F.col("y.set_id")
+    return near.select(F.greatest(one, two).alias("a"), F.least(one, two).alias("b")).distinct()
+
+
+def linked_sets(segments: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links between distinct sets that give the components of all links.
+
+    Holders of an n-gram meet its hub, then a second hub outside the first one's component, and
+    then all pairs that are still of different components and can reach the threshold.
+    """
+    prefix = materialize(prefixes(segments, percent).withColumn("part", F.col("set_id")), "ngram-prefixes")
+    apart = F.col("x.part") != F.col("y.part")
+    hub = _hubs(prefix)
+    links = materialize(overlapping(_pairs(prefix, hub, apart, percent), segments, percent), "ngram-links")
+    open_ = _with_parts(prefix.drop("part"), links)
+    first = open_.join(hub.select("gram", "set_id"), ["gram", "set_id"]).select("gram", F.col("part").alias("of_hub"))
+    second = _hubs(open_.join(first, "gram").where("part <> of_hub"))
+    more = materialize(overlapping(_pairs(open_, second, apart, percent), segments, percent), "ngram-links")
+    links = links.unionByName(more)
+    open_ = _with_parts(prefix.drop("part"), links)
+    rest = _pairs(open_, open_, F.col("x.part") > F.col("y.part"), percent)
+    return links.unionByName(materialize(overlapping(rest, segments, percent), "ngram-links"))
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:

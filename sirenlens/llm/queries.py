@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sirenlens.llm import jaccard, lines, mixing, tokens
+from sirenlens.llm import decontaminate, jaccard, lines, mixing, tokens, vectors
 from sirenlens.llm.common import prepared, table
 from sirenlens.session import shared_dir
 
@@ -48,3 +48,14 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_ngram_jaccard")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.contaminated(docs, benchmark)
+
+
+@query("op10_near_vectors")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
