@@ -142,21 +142,26 @@ class Index:
         return [(k, score, b) for k, (score, b) in sorted(best.items())]
 
 
+def _matches(index: Index, column: pa.Array, similarity: float) -> Iterator[tuple[int, int, float, int]]:
+    """``(row, item, similarity, first word)`` of all items found in a column of texts."""
+    hashes, where = words(column)
+    grams, first = shingles(hashes, where, SIZE)
+    before = np.concatenate([[0], np.cumsum(index.bitmap[grams >> np.uint64(40)])])
+    for row in np.flatnonzero(before[first[1:]] > before[first[:-1]]).tolist():
+        n = int(where[row + 1] - where[row])
+        for k, score, at in index.search(grams[first[row] : first[row + 1]], n):
+            if score >= similarity:
+                yield row, k, score, at
+
+
 def _search(ids: list[int], texts: list[str], similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(ids, texts)
         for batch in batches:
-            hashes, where = words(batch["text"])
-            grams, first = shingles(hashes, where, SIZE)
-            seen = index.bitmap[grams >> np.uint64(40)]
-            before = np.concatenate([[0], np.cumsum(seen)])
-            out: list[tuple] = []
-            doc_ids = batch["doc_id"]
-            for row in np.flatnonzero(before[first[1:]] > before[first[:-1]]).tolist():
-                n = int(where[row + 1] - where[row])
-                for k, score, at in index.search(grams[first[row] : first[row + 1]], n):
-                    if score >= similarity:
-                        out.append((doc_ids[row].as_py(), ids[k], score, at, int(index.words[k])))
+            out = [
+                (batch["doc_id"][row].as_py(), ids[k], score, at, int(index.words[k]))
+                for row, k, score, at in _matches(index, batch["text"], similarity)
+            ]
             columns = list(zip(*out, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.record_batch(
@@ -167,6 +172,35 @@ def _search(ids: list[int], texts: list[str], similarity: float):
     return run
 
 
+def _without(ids: list[int], texts: list[str], similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(ids, texts)
+        for batch in batches:
+            held = {row for row, *_ in _matches(index, batch["text"], similarity)}
+            yield batch.filter(pa.array([row not in held for row in range(len(batch))], pa.bool_()))
+
+    return run
+
+
+def item_blocks(benchmark: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
+    """Ids and texts of the benchmark in blocks of about ``ITEMS``; at least one block."""
+    items = benchmark.where("text is not null").select(
+        F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")
+    )
+    passes = max(1, -(-items.count() // ITEMS))
+    for k in range(passes):
+        mine = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
+        block = mine.orderBy("item_id", "text").toArrow()
+        yield block["item_id"].to_pylist(), block["text"].to_pylist()
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that hold no item of the benchmark; nothing is shuffled."""
+    for ids, texts in item_blocks(benchmark):
+        docs = docs.mapInArrow(_without(ids, texts, similarity), docs.schema)
+    return docs
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, item_id, similarity, word_at, n_words`` of every document that holds an item.
 
@@ -174,18 +208,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     its length. A-Z count as a-z. An item without words is found nowhere; one of fewer than five
     words only as a whole document. Null texts hold nothing; null and repeated ids are kept.
     """
-    items = benchmark.where("text is not null").select(
-        F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")
-    )
-    count = items.count()
-    passes = max(1, -(-count // ITEMS))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
-    for k in range(passes):
-        mine = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-        block = mine.orderBy("item_id", "text").toArrow()
-        part = texts.mapInArrow(
-            _search(block["item_id"].to_pylist(), block["text"].to_pylist(), similarity), _FOUND
-        )
+    for ids, items in item_blocks(benchmark):
+        part = texts.mapInArrow(_search(ids, items, similarity), _FOUND)
         found = part if found is None else found.unionByName(part)
     return found

@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sirenlens.llm.common import components, shuffle_partitions
+from sirenlens.llm.common import components, release, shuffle_partitions
 from sirenlens.llm.words import shingles, words
-from sirenlens.session import materialize
+from sirenlens.session import materialize as written
 
 SIZE = 5
 PERCENT = 75
@@ -34,6 +34,13 @@ PAIR_FRAGMENTS = 8
 #: N-grams gathered before a task hands its packed fragments on (64 MB of hashes).
 GATHERED = 8_000_000
 
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    out = written(df, name)
+    release(df.sparkSession)
+    return out
+
+
 _PACKED = "kind byte, batch binary, fragment long, doc_id long, h long, n long, set_id binary, data binary"
 _COUNTED = "doc_id long, h long, n long, set_id binary, shared long"
 _SEGMENT = "set_id binary, n long, fragment int, grams array<long>"
@@ -75,15 +82,23 @@ def _pack(sets: list[np.ndarray], ids: list, keys: list, fragments: int) -> Iter
     cuts = np.concatenate([[0], cuts, [len(ranked)]]).astype(np.int64)
     data, where = [], []
     shared_here = np.bincount(owner, weights=~single, minlength=rows).astype(np.int64)
+    alone = np.empty(len(ranked), bool)
+    alone[order] = single
+    alone = np.flatnonzero(alone)
+    low_bits = np.uint64(max(0, span.bit_length() - 32))
+    place = (everything[alone] // np.uint64(span)).astype(np.uint16 if fragments < 1 << 16 else np.uint32)
+    by_place = np.argsort(place, kind="stable")  # by document within a fragment
+    edges = np.searchsorted(place[by_place], np.arange(fragments + 1))
+    documents = np.repeat(np.arange(rows), sizes)
     for k in range(fragments):
+        mine = alone[by_place[edges[k] : edges[k + 1]]]
         part = slice(cuts[k], cuts[k + 1])
-        low = ((ranked[part] - np.uint64(k * span)) >> np.uint64(max(0, span.bit_length() - 32))).astype(np.uint32)
-        once, several = single[part], (new & ~last)[part]
-        if not len(low):
+        several = ranked[part][(new & ~last)[part]]
+        if not len(mine) and not len(several):
             continue
-        docs = owner[part][once].astype(np.uint32)
-        head = np.array([rows, len(docs)], np.uint32)
-        data.append(b"".join(x.tobytes() for x in (head, docs, low[once], low[several])))
+        once, more = (((x - np.uint64(k * span)) >> low_bits).astype(np.uint32) for x in (everything[mine], several))
+        of_doc = np.bincount(documents[mine], minlength=rows).astype(np.uint32)
+        data.append(b"".join(x.tobytes() for x in (np.array([rows], np.uint32), of_doc, once, more)))
         where.append(k)
     yield pa.record_batch(
         [
@@ -141,10 +156,11 @@ def _count_fragment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         mine = [(b, np.frombuffer(d, np.uint32)) for b, f, d in held if f == fragment]
         once, docs, twice = [], [], []
         for _, x in mine:
-            k = int(x[1])
-            docs.append(x[2 : 2 + k])
-            once.append(x[2 + k : 2 + 2 * k])
-            twice.append(x[2 + 2 * k :])
+            rows = int(x[0])
+            who = np.repeat(np.arange(rows), x[1 : 1 + rows])
+            docs.append(who)
+            once.append(x[1 + rows : 1 + rows + len(who)])
+            twice.append(x[1 + rows + len(who) :])
         low = np.concatenate(once)
         everything = np.concatenate([low, *twice, *twice])
         order = np.argsort(everything, kind="stable")
@@ -155,7 +171,7 @@ def _count_fragment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         shared = np.zeros(len(everything), bool)
         shared[order] = again
         at, names, data = 0, [], []
-        for (name, x), d in zip(mine, docs, strict=True):
+        for (name, _), d in zip(mine, docs, strict=True):
             hit = d[shared[at : at + len(d)]]
             at += len(d)
             if len(hit):
@@ -314,11 +330,11 @@ def linked_sets(segments: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row of ``docs(doc_id, text)``.
+    """``doc_id, n_shingles, component_id, h`` of every row of ``docs(doc_id, text)``.
 
     Two rows link when ``100 * |intersection| >= percent * |union|``. ``component_id`` is the
     smallest ``doc_id`` of all rows that links lead to. A null text, or one without words, has no
-    n-grams and its own id; fewer than ``size`` words are one n-gram. Null ids are kept and take
+    n-grams and its own id; ``h`` is a hash of the text, which tells rows of one id apart; fewer than ``size`` words are one n-gram. Null ids are kept and take
     part in links. Rows with equal sets are one set from the start, however many they are.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
@@ -331,10 +347,10 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     segments = materialize(cut.dropDuplicates(["set_id", "fragment"]), "ngram-segments")
     root = components(linked_sets(segments, percent)).withColumnRenamed("node", "set_id")
     named = counted.join(root, "set_id", "left").withColumn("part", F.coalesce("root", "set_id"))
-    named = materialize(named.select("doc_id", "n", "part"), "ngram-named")
+    named = materialize(named.select("doc_id", "h", "n", "part"), "ngram-named")
     least = named.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("least"), F.count("*").alias("m"))
     least = materialize(least.where("m > 1"), "ngram-components")
     out = named.join(least, "part", "left")
     return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "h"
     )

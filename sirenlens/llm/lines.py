@@ -55,31 +55,32 @@ def drop_boilerplate(
 ) -> DataFrame:
     """``pages`` with boilerplate lines removed from ``text``; other columns stay.
 
-    Adds ``n_lines`` (before) and ``n_dropped``. A text keeps its other lines, in order, repeated
+    Adds (in place of columns of these names) ``n_lines`` (before) and ``n_dropped``. A text keeps its other lines, in order, repeated
     ones too; a page of nothing but boilerplate gets an empty text; null stays null with no lines.
     """
     found = boilerplate(pages.select(F.col(host).alias("host"), F.col(text).alias("text")), ratio, least)
     of_host = materialize(
-        found.groupBy("host").agg(F.collect_list("line").alias("_drop")).withColumnRenamed("host", "_host"),
+        found.groupBy("host").agg(F.collect_list("line").alias("_ld_drop")).withColumnRenamed("host", "_ld_host"),
         "boilerplate",
     )
     # the table is a few lines for each site: Spark broadcasts it where its size allows, and else
     # splits a large site among tasks
-    joined = pages.join(of_host, F.col(host).eqNullSafe(F.col("_host")), "left")
+    joined = pages.join(of_host, F.col(host).eqNullSafe(F.col("_ld_host")), "left")
     lines = _lines(F.col(text))
-    kept = F.when(F.col("_drop").isNull(), lines).otherwise(
-        F.filter(lines, lambda x: ~F.array_contains(F.col("_drop"), _digest(x)))
+    kept = F.when(F.col("_ld_drop").isNull(), lines).otherwise(
+        F.filter(lines, lambda x: ~F.array_contains(F.col("_ld_drop"), _digest(x)))
     )
     before = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    out = joined.withColumn("_kept", kept).withColumn(
+    out = joined.withColumn("_ld_kept", kept).withColumn(
         "n_lines", F.when(F.col(text).isNull(), 0).otherwise(before)
     )
     out = out.withColumn(
         "n_dropped",
-        F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")).cast("long"),
+        F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines") - F.size("_ld_kept")).cast("long"),
     )
-    out = out.withColumn(text, F.array_join("_kept", "\n"))
-    return out.select(*pages.columns, "n_lines", "n_dropped")
+    out = out.withColumn(text, F.array_join("_ld_kept", "\n"))
+    added = ["n_lines", "n_dropped"]
+    return out.select(*[c for c in pages.columns if c not in added], *added)
 
 
 #: The same for ``documents`` with ``source`` as the site.

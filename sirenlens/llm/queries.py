@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sirenlens.llm import decontaminate, jaccard, lines, mixing, tokens, vectors
+from sirenlens.llm import chat, decontaminate, html, jaccard, langid, lines, mixing, tokens, vectors, warc
 from sirenlens.llm.common import prepared, table
 from sirenlens.session import shared_dir
 
@@ -59,3 +59,28 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_near_vectors")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op1_main_text")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op5_chat_format")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat.digests(chat.format_conversations(turns.unionByName(probe)))
+
+
+@query("op8_warc")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    files = warc.write_archives(pages, warc.archive_folder(pages))
+    return warc.read_archives(files)
