@@ -28,8 +28,8 @@ SIMILARITY = 0.75
 #: Of 64 bits. At the similarity above, fingerprints differ in about 11 (standard deviation 3).
 RADIUS = 19
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: Benchmark items that one pass over the documents looks for.
-ITEMS = 20_000
+#: Benchmark items that one pass over the documents looks for (an index of about 100 MB).
+ITEMS = 4_000
 
 _FOUND = "doc_id long, item_id long, similarity double, word_at long, n_words long"
 
@@ -77,34 +77,39 @@ class Index:
         self.prints = np.array(
             [simhash(g, np.zeros(1, np.int64), len(g))[0] if len(g) else 0 for g in self.grams], np.uint64
         )
-        entries: dict[tuple[int, int, int], list[int]] = {}
+        lengths = np.array([len(g) for g in self.grams], np.uint64)
+        keys, items = [], []
         for number, (start, bits) in enumerate(BLOCKS):
-            masks = [
-                sum(1 << b for b in flipped)
-                for count in range(radius // len(BLOCKS) + 1)
-                for flipped in combinations(range(bits), count)
-            ]
-            for k, fingerprint in enumerate(self.prints.tolist()):
-                value = (fingerprint >> start) & ((1 << bits) - 1)
-                for mask in masks:
-                    entries.setdefault((len(self.grams[k]), number, value ^ mask), []).append(k)
-        self.entries = {key: np.array(items) for key, items in entries.items()}
+            masks = np.array(
+                [
+                    sum(1 << b for b in flipped)
+                    for count in range(radius // len(BLOCKS) + 1)
+                    for flipped in combinations(range(bits), count)
+                ],
+                np.uint64,
+            )
+            values = (self.prints >> np.uint64(start)) & np.uint64((1 << bits) - 1)
+            keys.append(self._key(lengths[:, None], number, values[:, None] ^ masks[None, :]).ravel())
+            items.append(np.repeat(np.arange(len(ids)), len(masks)))
+        every, item = np.concatenate(keys), np.concatenate(items)
+        order = np.argsort(every, kind="stable")
+        self.entries, self.items = every[order], item[order].astype(np.int32)
+
+    @staticmethod
+    def _key(width, number: int, values: np.ndarray) -> np.ndarray:
+        return (np.asarray(width, np.uint64) << np.uint64(16)) | np.uint64(number << 13) | values
 
     def candidates(self, width: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (window, item) of equal length whose fingerprints are within the radius."""
-        windows, items = [], []
+        pairs = []
         for number, (start, bits) in enumerate(BLOCKS):
             values = (prints >> np.uint64(start)) & np.uint64((1 << bits) - 1)
-            order = np.argsort(values, kind="stable")
-            distinct, at = np.unique(values[order], return_index=True)
-            for value, group in zip(distinct.tolist(), np.split(order, at[1:]), strict=True):
-                found = self.entries.get((width, number, value))
-                if found is not None:
-                    windows.append(np.repeat(group, len(found)))
-                    items.append(np.tile(found, len(group)))
-        if not windows:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        pair = np.unique(np.concatenate(windows) * len(self.ids) + np.concatenate(items))
+            keys = self._key(width, number, values)
+            lo, hi = (np.searchsorted(self.entries, keys, side=side) for side in ("left", "right"))
+            count = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            pairs.append(np.repeat(np.arange(len(prints)), count) * len(self.ids) + self.items[at])
+        pair = np.unique(np.concatenate(pairs))
         w, k = pair // len(self.ids), pair % len(self.ids)
         close = np.bitwise_count(prints[w] ^ self.prints[k]) <= self.radius
         return w[close], k[close]
@@ -122,21 +127,18 @@ class Index:
         widths = np.array([len(g) for g in self.grams])
         best: dict[int, tuple[float, int]] = {}
         for width in np.unique(widths[item]).tolist():
-            if width > len(grams):
-                continue
+            size = min(width, len(grams))  # a document shorter than the item is one window
             at = np.unique(place[widths[item] == width])
-            begin = np.unique((at[:, None] - np.arange(width)).ravel())
-            begin = begin[(begin >= 0) & (begin + width <= len(grams))]
-            if not len(begin):
-                continue
+            begin = np.unique((at[:, None] - np.arange(size)).ravel())
+            begin = begin[(begin >= 0) & (begin + size <= len(grams))]
             # only the stretch that the windows cover is fingerprinted
             low = int(begin[0])
-            prints = simhash(grams[low : int(begin[-1]) + width], begin - low, width)
+            prints = simhash(grams[low : int(begin[-1]) + size], begin - low, size)
             for w, k in zip(*self.candidates(width, prints), strict=True):
                 b = int(begin[w])
                 if (self.words[k] < SIZE) != (n_words < SIZE):
                     continue
-                score = weighted_jaccard(grams[b : b + width], self.grams[k])
+                score = weighted_jaccard(grams[b : b + size], self.grams[k])
                 if score > best.get(int(k), (0.0, 0))[0]:
                     best[int(k)] = (score, b)
         return [(k, score, b) for k, (score, b) in sorted(best.items())]
