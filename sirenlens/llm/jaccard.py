@@ -255,12 +255,14 @@ def prefixes(segments: DataFrame, percent: int = PERCENT) -> DataFrame:
     ``pos`` is the place in the set's whole order. N-grams of one set only come first there; they
     are part of the prefix but meet nobody.
     """
-    grams = segments.select("set_id", "n", F.explode("grams").alias("gram"))
+    grams = segments.select("set_id", F.explode("grams").alias("gram"))
+    sizes = segments.groupBy("set_id").agg(F.first("n").alias("n"))
     frequent = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     ordered = (
         grams.join(frequent, "gram")
-        .groupBy("set_id", "n")
+        .groupBy("set_id")
         .agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("held"))
+        .join(sizes, "set_id")
     )
     alone = F.col("n") - F.size("held")
     length = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
@@ -344,7 +346,10 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     one = materialize(one.select("set_id", F.col("one.doc_id").alias("one_id"), F.col("one.h").alias("one_h")), "ngram-sets")
     texts = docs.join(one, (F.col("h") == F.col("one_h")) & F.col("doc_id").eqNullSafe(F.col("one_id")))
     cut = texts.select("set_id", "text").mapInArrow(_segments(size), _SEGMENT)
-    segments = materialize(cut.dropDuplicates(["set_id", "fragment"]), "ngram-segments")
+    repeated = able.groupBy("doc_id", "h").agg(F.count("*").alias("m")).where("m > 1")
+    if not repeated.isEmpty():  # rows equal in id and text have each read the same set
+        cut = cut.dropDuplicates(["set_id", "fragment"])
+    segments = materialize(cut, "ngram-segments")
     root = components(linked_sets(segments, percent)).withColumnRenamed("node", "set_id")
     named = counted.join(root, "set_id", "left").withColumn("part", F.coalesce("root", "set_id"))
     named = materialize(named.select("doc_id", "h", "n", "part"), "ngram-named")
