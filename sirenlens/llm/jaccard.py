@@ -267,7 +267,7 @@ def prefixes(segments: DataFrame, percent: int = PERCENT) -> DataFrame:
     alone = F.col("n") - F.size("held")
     length = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
     ordered = ordered.withColumn("alone", alone).where(length > alone)
-    ordered = ordered.withColumn("held", F.slice("held", F.lit(1), (length - alone).cast("int")))
+    ordered = ordered.withColumn("held", F.slice("held", F.lit(1), F.greatest(length - alone, F.lit(0)).cast("int")))
     return ordered.select("set_id", "n", "alone", F.posexplode("held").alias("k", "g")).select(
         F.col("g.gram").alias("gram"), "set_id", "n", "alone", (F.col("alone") + F.col("k")).alias("pos")
     )
