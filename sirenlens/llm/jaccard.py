@@ -41,9 +41,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-_PACKED = "kind byte, batch binary, fragment long, doc_id long, h long, n long, set_id binary, data binary"
-_COUNTED = "doc_id long, h long, n long, set_id binary, shared long"
-_SEGMENT = "set_id binary, n long, fragment int, grams array<long>"
+_PACKED = "kind byte, batch binary, fragment long, doc_id long, h long, n long, digest binary, data binary"
+_COUNTED = "doc_id long, h long, n long, digest binary, shared long"
+_SEGMENT = "set_id long, n long, fragment int, grams array<long>"
 
 
 def sets_of(column: pa.Array, size: int = SIZE) -> list[np.ndarray]:
@@ -119,7 +119,7 @@ def _pack(sets: list[np.ndarray], ids: list, keys: list, fragments: int) -> Iter
 def _schema() -> pa.Schema:
     return pa.schema(
         [("kind", pa.int8()), ("batch", pa.binary()), ("fragment", pa.int64()), ("doc_id", pa.int64()),
-         ("h", pa.int64()), ("n", pa.int64()), ("set_id", pa.binary()), ("data", pa.binary())]
+         ("h", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("data", pa.binary())]
     )
 
 
@@ -200,16 +200,16 @@ def _sum_batch(table: pa.Table) -> pa.Table:
         x = np.frombuffer(data, np.int32)
         shared[x[: len(x) // 2]] += x[len(x) // 2 :]
     return pa.table(
-        [docs["doc_id"], docs["h"], docs["n"], docs["set_id"], pa.array(shared[index])],
-        names=["doc_id", "h", "n", "set_id", "shared"],
+        [docs["doc_id"], docs["h"], docs["n"], docs["digest"], pa.array(shared[index])],
+        names=["doc_id", "h", "n", "digest", "shared"],
     )
 
 
 def shared_counts(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """``doc_id, h, n, set_id, shared`` of every row of ``docs(doc_id, h, text)``.
+    """``doc_id, h, n, digest, shared`` of every row of ``docs(doc_id, h, text)``.
 
-    ``h`` tells rows of one id apart; ``n`` is the size of the set, ``set_id`` its digest (null for the empty set), ``shared`` how
-    many of its n-grams another row has as well.
+    ``h`` tells rows of one id apart; ``n`` is the size of the set, ``digest`` stands for it (null for
+    the empty set), ``shared`` is how many of its n-grams another row has as well.
     """
     fragments = shuffle_partitions(docs.sparkSession)
     packed = docs.select("doc_id", "h", "text").mapInArrow(_fragments_of(size, fragments), _PACKED)
@@ -222,18 +222,19 @@ def _segments(size: int):
         shift = np.uint64(64 - (PAIR_FRAGMENTS.bit_length() - 1))
         for batch in batches:
             ids, ns, frags, grams = [], [], [], []
-            for wanted, s in zip(batch["set_id"].to_pylist(), sets_of(batch["text"], size), strict=True):
+            numbers, digests = batch["set_id"].to_pylist(), batch["digest"].to_pylist()
+            for number, wanted, s in zip(numbers, digests, sets_of(batch["text"], size), strict=True):
                 if not len(s) or set_digest(s) != wanted:  # another row of the same id
                     continue
                 cuts = np.searchsorted(s >> shift, np.arange(PAIR_FRAGMENTS + 1))
                 for k in range(PAIR_FRAGMENTS):
                     if cuts[k] < cuts[k + 1]:
-                        ids.append(wanted)
+                        ids.append(number)
                         ns.append(len(s))
                         frags.append(k)
                         grams.append(s[cuts[k] : cuts[k + 1]].view(np.int64))
             yield pa.record_batch(
-                [pa.array(ids, pa.binary()), pa.array(ns, pa.int64()), pa.array(frags, pa.int32()),
+                [pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(frags, pa.int32()),
                  pa.array(grams, pa.list_(pa.int64()))],
                 names=["set_id", "n", "fragment", "grams"],
             )
@@ -341,21 +342,28 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     counted = shared_counts(docs, size)
-    able = counted.where((F.col("n") > 0) & (100 * F.col("shared") >= percent * F.col("n")))
-    one = able.groupBy("set_id").agg(F.min(F.struct("doc_id", "h")).alias("one"))
-    one = materialize(one.select("set_id", F.col("one.doc_id").alias("one_id"), F.col("one.h").alias("one_h")), "ngram-sets")
+    may_link = (F.col("n") > 0) & (100 * F.col("shared") >= percent * F.col("n"))
+    able = counted.where(may_link)
+    one = able.groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("one"))
+    # a number takes the place of the digest from here on; the written table fixes it
+    one = one.select(
+        F.monotonically_increasing_id().alias("set_id"), "digest", F.col("one.doc_id").alias("one_id"),
+        F.col("one.h").alias("one_h"),
+    )
+    one = materialize(one, "ngram-sets")
     texts = docs.join(one, (F.col("h") == F.col("one_h")) & F.col("doc_id").eqNullSafe(F.col("one_id")))
-    cut = texts.select("set_id", "text").mapInArrow(_segments(size), _SEGMENT)
+    cut = texts.select("set_id", "digest", "text").mapInArrow(_segments(size), _SEGMENT)
     repeated = able.groupBy("doc_id", "h").agg(F.count("*").alias("m")).where("m > 1")
     if not repeated.isEmpty():  # rows equal in id and text have each read the same set
         cut = cut.dropDuplicates(["set_id", "fragment"])
     segments = materialize(cut, "ngram-segments")
     root = components(linked_sets(segments, percent)).withColumnRenamed("node", "set_id")
-    named = counted.join(root, "set_id", "left").withColumn("part", F.coalesce("root", "set_id"))
-    named = materialize(named.select("doc_id", "h", "n", "part"), "ngram-named")
-    least = named.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("least"), F.count("*").alias("m"))
+    part = one.join(root, "set_id", "left").select("digest", F.coalesce("root", "set_id").alias("part"))
+    named = materialize(able.join(part, "digest").select("doc_id", "h", "n", "part"), "ngram-named")
+    least = named.groupBy("part").agg(F.min("doc_id").alias("least"), F.count("*").alias("m"))
     least = materialize(least.where("m > 1"), "ngram-components")
-    out = named.join(least, "part", "left")
-    return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "h"
-    )
+    linked = named.join(least, "part", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
+    # the others have no equal either: they are components of their own, and meet no join
+    alone = counted.where(~may_link).withColumn("component_id", F.col("doc_id"))
+    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "h"]
+    return linked.select(columns).unionByName(alone.select(columns))
