@@ -40,9 +40,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     prepared(spark)
     groups = materialize(jaccard.near_duplicates(docs), "pipeline-groups")
     surplus = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    surplus = surplus.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    surplus = surplus.select(F.col("doc_id").alias("_dup_id"), F.col("h").alias("_dup_h")).distinct()
     surplus = materialize(surplus, "pipeline-surplus")
-    same = (F.xxhash64("text") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    same = (F.xxhash64("text") == F.col("_dup_h")) & F.col("doc_id").eqNullSafe(F.col("_dup_id"))
     kept = docs.join(surplus, same, "left_anti")
     repeated = groups.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
@@ -53,21 +53,32 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.without_items(docs, table(prepared(spark), sf_dir, "benchmark"))
 
 
+#: Columns that mixing adds, in place of columns of these names.
+ADDED = ("size", "source_size", "target", "copies", "taken")
+
+
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents that it takes, with their ``copies`` and words ``taken``.
 
     Rows equal in id, source and text are one row with all their copies.
     """
     prepared(spark)
-    mix = mixing.mix_to_targets(docs)
-    wanted = mix.groupBy("doc_id", "key").agg(
-        F.sum("copies").alias("copies"), F.sum("taken").alias("taken"), F.first("size").alias("size"),
-        F.first("source_size").alias("source_size"), F.first("target").alias("target"),
-    ).where("copies > 0")
-    wanted = materialize(wanted.withColumnRenamed("doc_id", "_id"), "pipeline-mix")
-    same = (F.xxhash64("doc_id", "source", "text") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    taken = docs.join(wanted, same).dropDuplicates(["doc_id", "key"])
-    return taken.select(*docs.columns, "size", "source_size", "target", "copies", "taken")
+    sums = [F.sum(n).alias(f"_mix_{n}") for n in ("copies", "taken")]
+    same_for_all = [F.first(n).alias(f"_mix_{n}") for n in ("size", "source_size", "target")]
+    wanted = (
+        mixing.mix_to_targets(docs)
+        .groupBy(F.col("doc_id").alias("_mix_id"), F.col("key").alias("_mix_key"))
+        .agg(*sums, *same_for_all, F.count("*").alias("_mix_rows"))
+        .where("_mix_copies > 0")
+    )
+    wanted = materialize(wanted, "pipeline-mix")
+    key = F.xxhash64("doc_id", "source", "text")
+    taken = docs.join(wanted, (key == F.col("_mix_key")) & F.col("doc_id").eqNullSafe(F.col("_mix_id")))
+    # only rows that are repeated move once more
+    repeated = taken.where("_mix_rows > 1").dropDuplicates(["_mix_id", "_mix_key"])
+    once = taken.where("_mix_rows = 1").unionByName(repeated)
+    kept = [n for n in docs.columns if n not in ADDED]
+    return once.select(*kept, *[F.col(f"_mix_{n}").alias(n) for n in ADDED])
 
 
 STAGES: list[tuple[str, Stage]] = [
