@@ -26,6 +26,8 @@ ID = list(IDENTITY)
 VERDICT_KEY = ["application", "key_field", "prompt_version", "model_version"]
 GROUP = ["run_id", "group_type", "group_value"]
 BATCH = ["run_id", "batch_id"]
+#: Tasks that call the classifier side by side.
+CONCURRENT_CALLS = 16
 FIELDS = ("alert_id", "assessment", "principle_id", "confidence", "justification")
 
 
@@ -42,10 +44,9 @@ Call = Callable[[str, str, int], str]
 
 def reuse_verdicts(eligible: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(reused, remaining)``: a stored verdict of the same prompt and model is never asked for
-    again."""
-    stored = verdicts.select(
-        *VERDICT_KEY, "assessment", "principle_id", "confidence", "justification"
-    )
+    again. Of several stored verdicts of one key the first in order of their values counts."""
+    said = F.struct("assessment", "principle_id", "confidence", "justification")
+    stored = verdicts.groupBy(*VERDICT_KEY).agg(F.min(said).alias("said")).select(*VERDICT_KEY, "said.*")
     reused = eligible.join(stored, VERDICT_KEY)
     return reused, eligible.join(stored, VERDICT_KEY, "left_anti")
 
@@ -84,11 +85,11 @@ def part_index(rank0: Column, size: Column, cap: int) -> Column:
     )
 
 
-def batch_members(alerts: DataFrame, cap: int = K.MAX_BATCH, **ranking: int) -> DataFrame:
+def batch_members(alerts: DataFrame, cap: int = K.MAX_BATCH) -> DataFrame:
     """Every alert with its batch: members ordered by (key_field, application)."""
     cap = min(cap, K.MAX_BATCH)
     ranked = with_running(
-        with_group(alerts), GROUP, [c("key_field"), c("application"), c("alert_schema")], **ranking
+        with_group(alerts), GROUP, [c("key_field"), c("application"), c("alert_schema")]
     )
     rank0 = c("rank") - 1
     return (
@@ -165,8 +166,9 @@ def own_fields(entries: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def _quoted(text: Column) -> Column:
-    escaped = F.regexp_replace(text, r'(["\\])', r"\\$1")
-    return F.concat(F.lit('"'), escaped, F.lit('"'))
+    """The text as a JSON string: the only element of a JSON array, without its brackets."""
+    listed = F.to_json(F.array(text))
+    return F.when(text.isNotNull(), F.substring(listed, F.lit(2), F.length(listed) - 2))
 
 
 def _object_text(entries: Column) -> Column:
@@ -248,8 +250,11 @@ def lossless_violations(members: DataFrame, table: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ calling and validating
 
 
-def call_batches(todo: DataFrame, call: Call, attempt: int) -> DataFrame:
-    """One attempt of every batch in ``todo``; a failed call is a row, never an exception."""
+def call_batches(
+    todo: DataFrame, call: Call, attempt: int, concurrent: int = CONCURRENT_CALLS
+) -> DataFrame:
+    """One attempt of every batch in ``todo``, dealt to ``concurrent`` tasks; a failed call is a
+    row, never an exception."""
     columns = [*BATCH, "request_text"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,7 +275,7 @@ def call_batches(todo: DataFrame, call: Call, attempt: int) -> DataFrame:
                          "failure_reason", "duration_ms"],
             )
 
-    return todo.select(*columns).mapInPandas(
+    return todo.select(*columns).repartition(concurrent, *BATCH).mapInPandas(
         run,
         "run_id string, batch_id string, attempt_number int, response_text string, "
         "status string, failure_reason string, duration_ms long",

@@ -134,8 +134,11 @@ def replace_runs(df: DataFrame, path: str, publications: DataFrame | None = None
 
 
 def absent(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` whose key is not stored yet, one per key; the stored row always wins."""
-    return new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
+    """Rows of ``new`` whose key is not stored yet, one per key; the stored row always wins, and of
+    several new rows the first in order of all their values."""
+    others = [n for n in new.columns if n not in keys]
+    one = new.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_row")).select(*keys, "_row.*")
+    return one.select(new.columns).join(existing.select(*keys), keys, "left_anti")
 
 
 def insert_absent(new: DataFrame, path: str, keys: list[str]) -> None:

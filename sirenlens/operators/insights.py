@@ -137,7 +137,7 @@ def largest_problem(totals: DataFrame, alerts: DataFrame) -> DataFrame:
     )
 
 
-def concentration(alerts: DataFrame, **ranking: int) -> DataFrame:
+def concentration(alerts: DataFrame) -> DataFrame:
     """Per run, for the schema with the most events: the smallest number of alerts that make at
     least 80 % of them. NULL ``k`` means nothing to say."""
     per_schema = alerts.groupBy(*SCOPE).agg(F.sum("row_count").alias("e"))
@@ -146,7 +146,7 @@ def concentration(alerts: DataFrame, **ranking: int) -> DataFrame:
     ).select("run_id", c("k.alert_schema").alias("alert_schema"))
     order = [-c("row_count"), c("application"), c("key_field")]
     mine = alerts.select(*SCOPE, "application", "key_field", "row_count").join(chosen, SCOPE)
-    running = with_running(mine, SCOPE, order, {"covered": "row_count"}, **ranking)
+    running = with_running(mine, SCOPE, order, {"covered": "row_count"})
     reached = 5 * c("covered") >= 4 * c("covered_total")
     first = running.groupBy(*SCOPE).agg(
         F.max("group_size").alias("n"),

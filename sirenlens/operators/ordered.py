@@ -1,9 +1,10 @@
 """Ranks and running sums over groups of any size.
 
-A plain window puts each group in one task. Here a group above a size bound is first cut into
-ordered pieces by splitters taken from a bottom-k hash sample of its own keys; ranks are then
-computed inside each piece and shifted by the totals of the pieces before it. The result is
-exact, deterministic and lazy; the sample only decides where the cuts fall.
+A plain window puts each group in one task. Here all rows are range-partitioned once by group and
+order, so a partition is an ordered piece of one group or of several; ranks are computed inside
+each piece of a group and shifted by the totals of the pieces before it. The placed rows are
+written, since the cut points come from a sample: every later step must see the same pieces. The
+result is exact and does not depend on where the cuts fall.
 """
 
 from __future__ import annotations
@@ -11,35 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-c = F.col
-HEAVY = 100_000
-PIECES = 256
-
+from sirenlens.session import materialize
 
-def _splitters(keyed: DataFrame, keys: list[str], heavy: int, pieces: int) -> DataFrame:
-    """Sorted splitters of each heavy group: at most ``pieces`` keys per group."""
-    sizes = keyed.groupBy(*keys).count().where(c("count") > heavy).drop("count")
-    # the row limit below runs inside each map task first, so a heavy group never meets in one
-    lowest = Window.partitionBy(*keys).orderBy("_h")
-    sampled = (
-        keyed.select(*keys, "_order", F.xxhash64("_order").alias("_h"))
-        .withColumn("_r", F.row_number().over(lowest))
-        .where(c("_r") <= pieces)
-    )
-    return (
-        sampled.join(sizes, keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("_order")).alias("_cuts"))
-    )
+c = F.col
 
 
 def with_running(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    sums: dict[str, str] | None = None,
-    heavy: int = HEAVY,
-    pieces: int = PIECES,
+    df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, str] | None = None
 ) -> DataFrame:
     """Add ``rank`` (1-based), ``group_size`` and, per ``sums`` entry ``{out: column}``, the
     inclusive running sum ``out`` and the group's total ``out_total``.
@@ -48,31 +27,22 @@ def with_running(
     it downwards.
     """
     sums = sums or {}
-    named = [o.alias(f"o{i}") for i, o in enumerate(order)]
-    keyed = df.withColumn("_order", F.struct(*named))
-    cuts = _splitters(keyed, keys, heavy, pieces)
-    piece = F.coalesce(
-        F.size(F.filter("_cuts", lambda cut: cut <= c("_order"))), F.lit(0)
-    )
-    placed = keyed.join(cuts, keys, "left").withColumn(
-        "_piece", F.when(c("_cuts").isNull(), 0).otherwise(piece)
-    ).drop("_cuts")
+    keyed = df.withColumn("_order", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
+    ranged = keyed.repartitionByRange(*keys, "_order").withColumn("_piece", F.spark_partition_id())
+    placed = materialize(ranged, "ordered")
     totals = placed.groupBy(*keys, "_piece").agg(
         F.count("*").alias("_n"), *[F.sum(col).alias(f"_t_{out}") for out, col in sums.items()]
     )
-    # at most pieces + 1 rows per group
+    # one row for each piece of a group
     line = Window.partitionBy(*keys).orderBy("_piece")
     before = line.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     offsets = totals.select(
-        *keys,
-        "_piece",
+        *[c(k).alias(f"_k_{k}") for k in keys],
+        c("_piece").alias("_p"),
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
         F.sum("_n").over(whole).alias("group_size"),
-        *[
-            F.coalesce(F.sum(f"_t_{out}").over(before), F.lit(0)).alias(f"_s_{out}")
-            for out in sums
-        ],
+        *[F.coalesce(F.sum(f"_t_{out}").over(before), F.lit(0)).alias(f"_s_{out}") for out in sums],
         *[F.sum(f"_t_{out}").over(whole).alias(f"{out}_total") for out in sums],
     )
     inside = Window.partitionBy(*keys, "_piece").orderBy("_order")
@@ -82,8 +52,10 @@ def with_running(
         F.row_number().over(inside).alias("_r0"),
         *[F.sum(col).over(running).alias(f"_l_{out}") for out, col in sums.items()],
     )
-    joined = local.join(offsets, [*keys, "_piece"])
-    return joined.select(
+    same = c("_piece") == c("_p")
+    for k in keys:
+        same &= c(k).eqNullSafe(c(f"_k_{k}"))
+    return local.join(offsets, same).select(
         *df.columns,
         (c("_r0") + c("_n0")).alias("rank"),
         "group_size",

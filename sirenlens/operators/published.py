@@ -228,17 +228,17 @@ WORKLIST_ORDER = [attention_rank, lambda: -c("row_count"), lambda: c("alert_sche
                   lambda: c("application"), lambda: c("key_field")]
 
 
-def worklist_pages(alerts: DataFrame, page_size: int, **ranking: int) -> DataFrame:
+def worklist_pages(alerts: DataFrame, page_size: int) -> DataFrame:
     """Every alert of every run with its position and page, without sorting a run in one task."""
-    ranked = with_running(alerts, ["run_id"], [o() for o in WORKLIST_ORDER], **ranking)
+    ranked = with_running(alerts, ["run_id"], [o() for o in WORKLIST_ORDER])
     return ranked.withColumn("page", F.ceil(c("rank") / F.lit(page_size)).cast("long")).withColumn(
         "pages", F.ceil(c("group_size") / F.lit(page_size)).cast("long")
     )
 
 
-def worklist_page(alerts: DataFrame, page: int, page_size: int, **ranking: int) -> DataFrame:
+def worklist_page(alerts: DataFrame, page: int, page_size: int) -> DataFrame:
     """One page of every run; a page past the end is the last page."""
-    paged = worklist_pages(alerts, page_size, **ranking)
+    paged = worklist_pages(alerts, page_size)
     return paged.where(c("page") == F.least(F.lit(max(page, 1)), c("pages"))).drop("group_size")
 
 
@@ -307,9 +307,9 @@ def team_log(log: DataFrame, limit: int = 30) -> DataFrame:
     return log.withColumn("position", F.row_number().over(newest)).where(c("position") <= limit)
 
 
-def alerts_with_findings(findings: DataFrame, page: int, page_size: int = 50, **ranking: int) -> DataFrame:
+def alerts_with_findings(findings: DataFrame, page: int, page_size: int = 50) -> DataFrame:
     """One page of every run's alerts that carry any finding, worst state first."""
-    return worklist_page(findings.where(attention_rank() < 4), page, page_size, **ranking)
+    return worklist_page(findings.where(attention_rank() < 4), page, page_size)
 
 
 def alert_detail(alerts: DataFrame, decisions: DataFrame) -> DataFrame:

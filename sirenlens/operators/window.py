@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from sirenlens.functions import catalogs as K
 from sirenlens.functions.instants import iso_instant
 from sirenlens.functions.scalars import enc_text, stable_hash
-from sirenlens.session import localize
 
 
 @dataclass(frozen=True)
@@ -65,7 +64,7 @@ def runs_table(spark: SparkSession, specs: list[RunSpec]) -> DataFrame:
         "registry_version string, registry_sha256 string, registry_entry_snapshot string, "
         "model_version string"
     )
-    return localize(
+    return (
         spark.createDataFrame(rows, schema)
         .withColumn("run_at", F.col("run_at_text").cast("timestamp"))
         .withColumn("window_start", F.col("run_at") - F.expr(f"INTERVAL {K.WINDOW_HOURS} HOURS"))

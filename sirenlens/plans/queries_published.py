@@ -23,8 +23,6 @@ from sirenlens.sources.events import alerts_from_events
 from sirenlens.sources.registry import registry_from_text, registry_problems
 
 c = F.col
-# small bounds so that the piecewise paths run on small data too
-PIECEWISE = {"heavy": 20, "pieces": 8}
 NOW_SQL = f"TIMESTAMP '{NOW}'"
 
 
@@ -37,7 +35,7 @@ def _members(spark: SparkSession, sf: str) -> DataFrame:
     ready = f.withColumn("prompt_version", F.lit(K.PROMPT_VERSION)).withColumn(
         "model_version", F.lit(sample.MODEL)
     ).withColumnRenamed("representative_doc", "document")
-    return L.batch_members(ready, **PIECEWISE)
+    return L.batch_members(ready)
 
 
 @query("l01_verdict_reuse", sql("SELECT o.run_id, o.alert_schema, o.application, o.key_field, (o.application, o.key_field) IN (SELECT (application, key_field) FROM outcomes WHERE run_id IN (SELECT run_id FROM runs WHERE window_end = TIMESTAMP '2024-01-08') AND assessment IS NOT NULL) AS reused FROM outcomes o JOIN runs r ON r.run_id = o.run_id WHERE r.window_end > TIMESTAMP '2024-01-08'", "weekly"))
@@ -79,7 +77,7 @@ def l03b(spark: SparkSession, sf: str) -> DataFrame:
     from sirenlens.operators.ordered import with_running
 
     keys = alerts_from_events(spark, sf, sample.FAN).select("application", "key_field").distinct()
-    ranked = with_running(keys, ["application"], [c("key_field")], **PIECEWISE)
+    ranked = with_running(keys, ["application"], [c("key_field")])
     part = L.part_index(c("rank") - 1, c("group_size"), 7)
     return ranked.select("application", "key_field", part.alias("part"))
 
@@ -315,7 +313,7 @@ _PAGED = f"SELECT {ID_SQL}, row_number() OVER (PARTITION BY run_id ORDER BY atte
 
 @query("q10_worklist_page", sql(f"SELECT {ID_SQL}, rank FROM ({_PAGED}) x WHERE (rank + 24) // 25 = least(3, (total + 24) // 25)", "weekly"))
 def q10(spark: SparkSession, sf: str) -> DataFrame:
-    return P.worklist_page(P.published_alerts(*_weeks(spark, sf)), 3, 25, **PIECEWISE).select(*ID, *n("rank"))
+    return P.worklist_page(P.published_alerts(*_weeks(spark, sf)), 3, 25).select(*ID, *n("rank"))
 
 
 @query("q11_worklist_counts", sql("SELECT run_id, count(*) AS total, count(*) FILTER (attention_rank < 4) AS attention FROM palerts GROUP BY 1", "weekly"))
@@ -350,7 +348,7 @@ def q15(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("q16_alerts_with_findings", sql(f"SELECT {ID_SQL}, rank FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY attention_rank, row_count DESC, alert_schema, application, key_field) AS rank FROM ranked WHERE attention_rank < 4) x WHERE rank <= 50", "weekly"))
 def q16(spark: SparkSession, sf: str) -> DataFrame:
-    return P.alerts_with_findings(stored(spark, sf).store.alert_findings, 1, 50, **PIECEWISE).select(*ID, *n("rank"))
+    return P.alerts_with_findings(stored(spark, sf).store.alert_findings, 1, 50).select(*ID, *n("rank"))
 
 
 @query("q17_alert_detail", sql("SELECT a.run_id, a.alert_schema, a.application, a.key_field, d.finding_id, d.decision_id, d.state FROM palerts a LEFT JOIN pdecisions d ON d.alert_schema = a.alert_schema AND d.application = a.application AND d.key_field = a.key_field", "weekly"))
@@ -446,7 +444,7 @@ SELECT run_id, alert_schema, min(rank) FILTER (5 * covered >= 4 * total) AS k, m
 
 @query("i06_concentration", sql(CONCENTRATION, "weekly"))
 def i06(spark: SparkSession, sf: str) -> DataFrame:
-    return N.concentration(_palerts(spark, sf), **PIECEWISE).select("run_id", "alert_schema", *n("k", "n", "pct", "covered", "total"))
+    return N.concentration(_palerts(spark, sf)).select("run_id", "alert_schema", *n("k", "n", "pct", "covered", "total"))
 
 
 VISIBLE = """SELECT run_id, alert_schema, 'unassessed' AS kind, unassessed AS n, CAST(NULL AS BIGINT) AS events FROM totals WHERE unassessed > 0
@@ -551,9 +549,9 @@ def i17(spark: SparkSession, sf: str) -> DataFrame:
     return N.scale_probe(weekly_analysis(spark, sf).scoped)
 
 
-@query("i18_distinct_per_day", sql("SELECT s.alert_schema, CAST(s.d AS VARCHAR) AS snapshot_date, count(DISTINCT (application, key_field)) AS distinct_alerts, count(a.seq) AS rows FROM (SELECT alert_schema, CAST(unnest(generate_series(CAST(min(snapshot_date) AS TIMESTAMP), CAST(max(snapshot_date) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS d FROM alerts WHERE component <> 'Unknown' GROUP BY 1) s LEFT JOIN alerts a ON a.alert_schema = s.alert_schema AND a.snapshot_date = s.d AND a.component <> 'Unknown' GROUP BY ALL", "wide"))
+@query("i18_distinct_per_day", sql("SELECT s.alert_schema, CAST(s.d AS VARCHAR) AS snapshot_date, count(DISTINCT (application, key_field)) AS distinct_alerts, count(a.seq) AS rows FROM (SELECT alert_schema, CAST(unnest(generate_series(CAST(min(snapshot_date) AS TIMESTAMP), CAST(max(snapshot_date) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS d FROM alerts GROUP BY 1) s LEFT JOIN alerts a ON a.alert_schema = s.alert_schema AND a.snapshot_date = s.d GROUP BY ALL", "wide"))
 def i18(spark: SparkSession, sf: str) -> DataFrame:
-    rows = alerts_from_events(spark, sf, sample.FAN).where(c("component") != "Unknown")
+    rows = alerts_from_events(spark, sf, sample.FAN)
     return N.distinct_per_day(rows, N.calendar_of(rows)).select("alert_schema", day(), "distinct_alerts", "rows")
 
 
@@ -680,10 +678,10 @@ def w08(spark: SparkSession, sf: str) -> DataFrame:
     return Pl.append_decisions(s.decisions, s.alert_findings, s.publications).select("decision_id")
 
 
-@query("w08_refused_decisions", sql("SELECT decision_id, CASE WHEN run_id NOT IN (SELECT run_id FROM weeks) THEN 'not a published week' ELSE 'not a finding on this alert' END AS refused FROM decisions WHERE finding_id <> 'R1'", "weekly"))
+@query("w08_refused_decisions", sql("SELECT decision_id, CASE WHEN run_id NOT IN (SELECT run_id FROM weeks) THEN 'not a published week' ELSE 'not a finding on this alert' END AS refused FROM decisions", "weekly"))
 def w08b(spark: SparkSession, sf: str) -> DataFrame:
     s = stored(spark, sf).store
-    wrong = s.decisions.where(c("finding_id") != "R1").withColumn("finding_id", F.lit("P11"))
+    wrong = s.decisions.withColumn("finding_id", F.lit("P11"))
     return Pl.refused_decisions(wrong, s.alert_findings, s.publications).select("decision_id", "refused")
 
 

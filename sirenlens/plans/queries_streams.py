@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from sirenlens.plans.base import day, n, query
 from sirenlens.plans.oracle import ID as ID_SQL
 from sirenlens.plans.oracle import sql
 from sirenlens.plans.store import _key, window_analysis
-from sirenlens.session import localize, shared_dir, ship_package
+from sirenlens.session import materialize, shared_dir, ship_package
 from sirenlens.sources.events import alerts_from_table
 from sirenlens.streaming import incremental as S
 
@@ -25,9 +26,13 @@ LATE = "event_id % 100 = 7 AND ts < TIMESTAMP '2024-01-10'"
 _folders: dict[tuple[str, str], str] = {}
 
 
-def _staged(spark: SparkSession, sf: str, folder: str, late: bool = False) -> DataFrame:
-    """The events as files arriving in three steps by time; with ``late``, a few old rows arrive
-    with the second."""
+def _arrivals(spark: SparkSession, sf: str, folder: str, late: bool = False, close: bool = False) -> Iterator[DataFrame]:
+    """The events arriving in three steps by time, as a stream after each of them; with ``late``, a
+    few old rows arrive with the second. Whoever iterates drains the stream before the next step.
+
+    ``close`` ends the input with a row that is nothing but an instant three days later: the
+    watermark then passes every day of the events.
+    """
     events = spark.read.parquet(f"{sf}/events.parquet")
     step = (
         F.when(F.lit(late) & F.expr(LATE), 1)
@@ -35,10 +40,14 @@ def _staged(spark: SparkSession, sf: str, folder: str, late: bool = False) -> Da
         .when(c("ts") < F.lit("2024-01-25").cast("timestamp_ntz"), 1)
         .otherwise(2)
     )
-    for i in range(3):
-        # one file per arrival keeps the micro-batches of this sample reproducible
-        events.where(step == i).coalesce(1).write.mode("append").parquet(folder)
-    return S.read_stream(spark, folder, events.schema, files_per_batch=1)
+    arrivals = [events.where(step == i) for i in range(3)]
+    if close:
+        end = events.agg((F.max("ts") + F.expr("INTERVAL 3 DAYS")).alias("ts"))
+        blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema if f.name != "ts"]
+        arrivals.append(end.select("ts", *blank).select(events.columns))
+    for rows in arrivals:
+        rows.write.mode("append").parquet(folder)
+        yield S.read_stream(spark, folder, events.schema)
 
 
 def _scope(spark: SparkSession):
@@ -53,10 +62,10 @@ def _ingested(spark: SparkSession, sf: str) -> str:
     key = _key(spark, sf)
     if key not in _folders:
         folder = f"{shared_dir(spark)}/sirenlens/stream-{uuid.uuid4().hex}"
-        stream = alerts_from_table(_staged(spark, sf, f"{folder}/in", late=True))
         reg = sample.registry(spark)
-        plans = localize(V.panel_plans(reg, V.number_leaves(V.interpret_leaves(reg))))
-        S.ingest(stream, _scope(spark), plans, f"{folder}/facts", K.DAY_US)
+        plans = materialize(V.panel_plans(reg, V.number_leaves(V.interpret_leaves(reg))), "panel-plans")
+        for stream in _arrivals(spark, sf, f"{folder}/in", late=True):
+            S.ingest(alerts_from_table(stream), _scope(spark), plans, f"{folder}/facts", K.DAY_US)
         _folders[key] = f"{folder}/facts"
     return _folders[key]
 
@@ -88,8 +97,9 @@ _FIRING_COLUMNS = ("row_count", "clear_count", "max_clear_cycles_24h", "max_epis
 def t03(spark: SparkSession, sf: str) -> DataFrame:
     ship_package(spark)
     folder = f"{shared_dir(spark)}/sirenlens/state-{uuid.uuid4().hex}"
-    rows = alerts_from_table(_staged(spark, sf, f"{folder}/in")).withWatermark("ts", "1 day")
-    instants = S.drain(S.instant_stream(rows), f"{folder}/instants")
+    for stream in _arrivals(spark, sf, f"{folder}/in"):
+        rows = alerts_from_table(stream).withWatermark("ts", "1 day")
+        instants = S.drain(S.instant_stream(rows), f"{folder}/instants")
     # the watermark sees every instant; the runs' windows apply after it
     again = S.read_stream(spark, f"{folder}/instants", instants.schema)
     owned = _scope(spark)(again.withWatermark("ts", "1 day"))
@@ -107,11 +117,12 @@ def t04b(spark: SparkSession, sf: str) -> DataFrame:
     return S.finalize_firing(spark, _ingested(spark, sf)).select(*ID, *n(*_FIRING_COLUMNS))
 
 
-@query("t05_distinct_per_day", "SELECT * FROM (" + sql("SELECT CAST(snapshot_date AS VARCHAR) AS day, alert_schema, count(DISTINCT (application, key_field)) AS distinct_alerts FROM alerts GROUP BY ALL") + ") x WHERE CAST(day AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
+@query("t05_distinct_per_day", sql("SELECT CAST(snapshot_date AS VARCHAR) AS day, alert_schema, count(DISTINCT (application, key_field)) AS distinct_alerts FROM alerts GROUP BY ALL"))
 def t05(spark: SparkSession, sf: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/sirenlens/days-{uuid.uuid4().hex}"
-    stream = alerts_from_table(_staged(spark, sf, f"{folder}/in")).withWatermark("ts", "1 day")
-    days = S.drain(S.distinct_per_day(stream), f"{folder}/out")
+    for stream in _arrivals(spark, sf, f"{folder}/in", close=True):
+        rows = alerts_from_table(stream).withWatermark("ts", "1 day")
+        days = S.drain(S.distinct_per_day(rows), f"{folder}/out")
     return days.select(F.date_format("day_start", "yyyy-MM-dd").alias("day"), "alert_schema", "distinct_alerts")
 
 

@@ -17,7 +17,7 @@ from sirenlens.operators import suppression as V
 from sirenlens.operators import volume as D
 from sirenlens.operators.rules import phase_of
 from sirenlens.operators.window import day_buckets, scope_alerts
-from sirenlens.session import localize, materialize, together
+from sirenlens.session import materialize, together
 from sirenlens.sources.registry import Registry
 from sirenlens.sources.schema import IDENTITY
 
@@ -58,11 +58,11 @@ class Analysis:
 
     @cached_property
     def leaves(self) -> DataFrame:
-        return localize(V.number_leaves(V.interpret_leaves(self.reg)))
+        return materialize(V.number_leaves(V.interpret_leaves(self.reg)), "leaves")
 
     @cached_property
     def panel_plans(self) -> DataFrame:
-        return localize(V.panel_plans(self.reg, self.leaves))
+        return materialize(V.panel_plans(self.reg, self.leaves), "panel-plans")
 
     @cached_property
     def signatures(self) -> DataFrame:

@@ -31,18 +31,13 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan with fewer splits than cores the whole cluster; a large scan is untouched."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def local_session(cores: str = "8", name: str = "sirenlens") -> SparkSession:
     """A session for tests and the local benchmark; a cluster supplies its own."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
+        .config("spark.sql.files.minPartitionNum", cores if cores.isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
@@ -57,29 +52,21 @@ def local_session(cores: str = "8", name: str = "sirenlens") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for tables that cut lineage.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where nothing is set (a bare local
-    test session) is a temporary folder used.
+    A cluster names it in ``spark.checkpoint.dir``; without one this is an error, as executors
+    cannot read each other's disks. Only in local mode, where all share one disk, is a temporary
+    folder used instead.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")
 
 
-def localize(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """A configuration table as a local relation, so its size is known to every join.
-
-    The size is checked first: a larger table is returned as it is and joined by shuffle.
-    """
-    table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows:
-        return df
-    return df.sparkSession.createDataFrame(table, schema=df.schema)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -100,12 +87,15 @@ def together(*jobs: Callable[[], T]) -> list[T]:
 
 
 @contextmanager
-def state_partitions(spark: SparkSession) -> Iterator[None]:
-    """Stateful streams are not re-planned at run time and keep the partition count they start
-    with: start them with at most one partition per core of the cluster."""
+def state_partitions(spark: SparkSession, partitions: int | None) -> Iterator[None]:
+    """Start stateful streams with ``partitions`` partitions of state.
+
+    A stream keeps that number as long as its checkpoint: choose it for the largest state expected.
+    None leaves the session's ``spark.sql.shuffle.partitions``.
+    """
     key = "spark.sql.shuffle.partitions"
     before = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    spark.conf.set(key, str(partitions or before))
     try:
         yield
     finally:

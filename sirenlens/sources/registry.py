@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sirenlens.session import localize
+from sirenlens.session import materialize
 
 OPERAND = "struct<kind:string,value:string>"
 PREDICATE = (
@@ -108,9 +108,8 @@ def registry_from_text(documents: DataFrame) -> Registry:
 
 
 def resident(documents: DataFrame) -> Registry:
-    """The registry over local entries, so every join knows how small it is (a registry beyond
-    configuration size stays distributed)."""
-    return registry_tables(localize(registry_entries(documents)))
+    """The registry over written entries, read once and of known size to every join."""
+    return registry_tables(materialize(registry_entries(documents), "registry"))
 
 
 def load_registry(spark: SparkSession, path: str) -> Registry:

@@ -81,9 +81,11 @@ def ingest_batch(scope, plans: DataFrame, folder: str, delay_us: int):
     return step
 
 
-def ingest(alerts: DataFrame, scope, plans: DataFrame, folder: str, delay_us: int) -> None:
+def ingest(
+    alerts: DataFrame, scope, plans: DataFrame, folder: str, delay_us: int, partitions: int | None = None
+) -> None:
     """Drain the available input into partial facts and stop."""
-    with state_partitions(alerts.sparkSession):
+    with state_partitions(alerts.sparkSession, partitions):
         (
             alerts.writeStream.foreachBatch(ingest_batch(scope, plans, folder, delay_us))
             .option("checkpointLocation", f"{folder}/checkpoint")
@@ -230,9 +232,9 @@ def firing_of_slices(slices: DataFrame) -> DataFrame:
     return E.firing_from_slices(slices.drop("cycle_us"), local)
 
 
-def drain(stream: DataFrame, path: str) -> DataFrame:
+def drain(stream: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
     """Run an append stream over the available input into Parquet and read it back."""
-    with state_partitions(stream.sparkSession):
+    with state_partitions(stream.sparkSession, partitions):
         (
             stream.writeStream.format("parquet")
             .outputMode("append")

@@ -20,7 +20,12 @@ def test_running_sums_over_a_heavy_group(spark):
     rows = [("hot", i, rng.randint(0, 9)) for i in range(2000)] + [(f"g{i % 7}", i, 1) for i in range(60)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "g string, i int, v int")
-    got = with_running(df, ["g"], [-F.col("i")], {"acc": "v"}, heavy=50, pieces=16).collect()
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")  # so that the group is cut, small as it is
+    try:
+        got = with_running(df, ["g"], [-F.col("i")], {"acc": "v"}).collect()
+    finally:
+        spark.conf.unset(coalesce)
     assert len(got) == len(rows)
     for g in {r[0] for r in rows}:
         mine = sorted((r for r in rows if r[0] == g), key=lambda r: -r[1])
@@ -40,7 +45,7 @@ def members_of(spark, n, groups=("u",)):
 
 
 def test_balanced_batches(spark):
-    placed = L.batch_members(members_of(spark, 401), heavy=100, pieces=8)
+    placed = L.batch_members(members_of(spark, 401))
     sizes = [r.alert_count for r in L.batches(placed).orderBy("partition_index").collect()]
     assert sizes == [134, 134, 133]
     small = L.batches(L.batch_members(members_of(spark, 3, ("", "x")))).collect()
@@ -155,3 +160,43 @@ def test_week_outcomes_cascade(spark):
         "team_id string, window_end timestamp, invoked_at timestamp, outcome string")
     got = [(r.team_id, r.outcome) for r in Pl.week_outcomes(health, log, now).orderBy("team_id", "window_end").collect()]
     assert got == [("a", "published"), ("a", "held"), ("a", "stored"), ("b", "published"), ("b", "failed"), ("b", "held"), ("b", "stored")]
+
+
+def test_one_verdict_of_each_key_is_reused(spark):
+    key = ("app", "k", "1", "m")
+    names = "application string, key_field string, prompt_version string, model_version string"
+    eligible = spark.createDataFrame([key, ("app", "other", "1", "m")], names)
+    said = [(*key, "other", "OTHER", "low", "b"), (*key, "no_violation", "NONE", "high", "a")]
+    verdicts = spark.createDataFrame(
+        said, names + ", assessment string, principle_id string, confidence string, justification string")
+    reused, remaining = L.reuse_verdicts(eligible, verdicts)
+    assert [(r.key_field, r.assessment, r.justification) for r in reused.collect()] == [("k", "no_violation", "a")]
+    assert [r.key_field for r in remaining.collect()] == ["other"]
+
+
+def test_absent_keeps_the_first_new_row_by_value(spark):
+    new = spark.createDataFrame([("a", 2, "x"), ("a", 1, "z"), ("b", 5, None), ("b", 5, "y"), ("c", 0, "c")], "k string, v int, w string")
+    stored = spark.createDataFrame([("c", 9, "kept")], "k string, v int, w string")
+    for parts in (1, 5):
+        got = W.absent(new.repartition(parts), stored, ["k"])
+        assert sorted(map(tuple, got.collect())) == [("a", 1, "z"), ("b", 5, None)]
+
+
+def test_requests_are_json_whatever_the_names(spark):
+    odd = 'tab\t line\nquote" back\\slash \u0001 é'
+    placed = L.batch_members(members_of(spark, 3, groups=(odd,)))
+    table = L.batches(placed)
+    request = L.requests(L.with_batch_id(placed, table), table).first()
+    parsed = json.loads(request.request_text)
+    assert parsed["group"]["value"] == odd and parsed["shared_fields"] == {"a": 1, "n": None}
+    assert [a["fields"] for a in parsed["alerts"]] == [{"k": 0}, {"k": 1}, {"k": 2}]
+
+
+def test_calls_are_dealt_to_several_tasks(spark):
+    import os
+
+    rows = [("r", f"b{k}", "text") for k in range(64)]
+    todo = spark.createDataFrame(rows, "run_id string, batch_id string, request_text string").coalesce(1)
+    called = L.call_batches(todo, lambda text, batch, attempt: f"{os.getpid()}", 1)
+    assert called.count() == 64
+    assert called.select(F.spark_partition_id()).distinct().count() > 1
