@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sirenlens.llm import decontaminate, jaccard, langid, lines, mixing
-from sirenlens.llm.common import prepared, table
-from sirenlens.session import materialize
+from sirenlens.llm.common import materialize, prepared, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 

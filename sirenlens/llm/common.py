@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sirenlens.session import materialize, tune
+from sirenlens import session
+from sirenlens.session import tune
+
+#: Spark's own setting: the shuffle files of a query go when it ends, not when garbage is collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Rows of an Arrow batch: documents can be long, so a batch holds few.
 BATCH_ROWS = "1000"
@@ -30,11 +32,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def release(spark: SparkSession) -> None:
-    """Give back the disk of finished steps: Spark deletes a step's shuffle files when the driver's
-    garbage collector finds that nothing refers to them, which may otherwise be much later."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back; the disk of its shuffles is
+    free when the write ends. Only the write is under that setting, and it plans ``df`` anew, so no
+    other query loses files. Calls follow each other: the setting is the session's."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        return session.materialize(df, name)
+    finally:
+        conf.set(CLEANUP, before)
 
 
 def components(edges: DataFrame) -> DataFrame:

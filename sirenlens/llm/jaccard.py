@@ -23,9 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sirenlens.llm.common import components, release, shuffle_partitions
+from sirenlens.llm.common import components, materialize, shuffle_partitions
 from sirenlens.llm.words import shingles, words
-from sirenlens.session import materialize as written
 
 SIZE = 5
 PERCENT = 75
@@ -35,12 +34,6 @@ PAIR_FRAGMENTS = 8
 GATHERED = 8_000_000
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    out = written(df, name)
-    release(df.sparkSession)
-    return out
-
-
 _PACKED = "kind byte, batch binary, fragment long, doc_id long, h long, n long, digest binary, data binary"
 _COUNTED = "doc_id long, h long, n long, digest binary, shared long"
 _SEGMENT = "set_id long, n long, fragment int, grams array<long>"

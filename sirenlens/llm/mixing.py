@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sirenlens.session import materialize
+from sirenlens.llm.common import materialize
 
 #: Documents of a leaf and children of an inner node of the tree.
 FAN_IN = 1000
