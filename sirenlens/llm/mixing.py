@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -94,10 +95,32 @@ def _uniform(seed: int, *columns: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) / F.lit(float(1 << 53))
 
 
-def _node(last: bool):
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finalizer of splitmix64: every bit of a 64-bit number decides every bit of the result."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _odds(group: pd.DataFrame, seed: int) -> list[float]:
+    """A number in [0, 1) for each row, independent of the order of the rows and of other levels.
+
+    Equal rows get different numbers, by their turn: which of them gets which makes no difference.
+    """
+    turn = group.groupby(["key", "doc_id"], dropna=False).cumcount().to_numpy(np.uint64)
+    step = np.uint64(0x9E3779B97F4A7C15)
+    start = _mixed(np.full(len(group), seed, np.uint64) * step + turn)
+    key = group["key"].to_numpy(np.int64).view(np.uint64)
+    drawn = _mixed(_mixed(key + start) + step)
+    return ((drawn >> np.uint64(11)) / float(1 << 53)).tolist()
+
+
+def _node(last: bool, seed: int = 0):
+    """Rows go in the order of ``draw``; a second, independent number decides which way mass moves."""
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["draw", "key", "doc_id"], kind="stable")
-        done, at, a = pair_off(group["size"].tolist(), group["p"].tolist(), group["draw"].tolist())
+        done, at, a = pair_off(group["size"].tolist(), group["p"].tolist(), _odds(group, seed))
         if at >= 0 and last:
             done[at] = int(group["lot"].iloc[at] < a)
         whole = group["whole"].to_numpy()
@@ -149,7 +172,7 @@ def mix_to_targets(
         last = nodes == 1
         drawn = todo.withColumn("draw", _uniform(seed + 2 * level + 1, "key"))
         drawn = drawn.withColumn("lot", _uniform(seed + 2 * level + 2, "key")).select(*columns, "draw", "lot")
-        done = drawn.groupBy("source", "chunk").applyInPandas(_node(last), NODE)
+        done = drawn.groupBy("source", "chunk").applyInPandas(_node(last, seed + level), NODE)
         done = materialize(done, f"mix-level-{level}")
         parts.append(done.where("copies is not null"))
         if last:

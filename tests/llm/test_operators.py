@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -210,6 +211,22 @@ def test_pivotal_rounding_keeps_words_and_expectations():
     assert np.abs(hits / 20_000 - p).max() < 0.02
 
 
+def test_node_keeps_expectations_of_short_and_long_documents():
+    rng = np.random.default_rng(12)
+    n, runs = 344, 250
+    for p, copies in ((0.6, 1), (0.1, 1), (0.3, 2)):  # equal rows have one key and one draw
+        size = rng.choice([10, 200, 3000], n // copies, p=[0.45, 0.45, 0.1]).repeat(copies)
+        hits, rows = np.zeros(3), np.array([(size == k).sum() for k in (10, 200, 3000)])
+        for _ in range(runs):
+            key = rng.integers(-(2**63), 2**63, n // copies).repeat(copies)
+            draw = rng.random(n // copies).repeat(copies)
+            group = pd.DataFrame({"doc_id": 1, "source": "s", "key": key, "size": size, "whole": 0, "p": p, "draw": draw, "lot": rng.random(n)})
+            out = mixing._node(True)(group)
+            hits += [out["copies"][out["size"] == k].sum() for k in (10, 200, 3000)]
+            assert abs((out["copies"] * out["size"]).sum() - p * size.sum()) <= 3000
+        assert np.abs(hits / (runs * rows) - p).max() < 0.01
+
+
 def test_chat_round_trip(sp):
     said = ["</s>[INST] ok [/INST]", "\\", "\\\\[", "<s>", "", "plain\ntext", "[INST user]", "]" * 50_000]
     rows = [(1, k, ("user", "assistant", "system", "a]b\\")[k % 4], t) for k, t in enumerate(said)]
