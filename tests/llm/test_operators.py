@@ -300,6 +300,37 @@ def test_main_text(sp):
     assert len(picked) == 4 and picked == sorted(picked)
 
 
+def test_pages_without_an_article_do_not_depend_on_cuts_or_copies(sp):
+    rng = random.Random(13)
+    rows = []
+    for k in range(160):
+        host, kind = rng.choice("abc"), rng.randrange(7)
+        story = "" if kind == 0 else f"<p>Same</p>" if kind < 4 else f"<p>Story {k}</p><p>Both {k % 5}</p>"
+        page = f"<p>Welcome {host}</p>{story}<p>End</p>"
+        rows.append((k, f"http://{host}/{rng.choice('xyz')}/{rng.randrange(30)}", f"<article>{page}</article>" if kind == 6 else page))
+    rows += [(900 + k, "http://a/x/15", "<p>Welcome a</p><p>Same</p><p>End</p>") for k in range(40)]  # a run over several ranges
+    rows += [(990, "http://d/1", "<p>Welcome d</p><p>One</p>"), (991, "http://d/1", "<p>Welcome d</p><p>One</p>"), (992, "http://d/2", "<article>A</article>"),
+             (993, "http://d/3", "<p>Welcome d</p><p>Three</p>"), (994, "http://e/1", "<p>Welcome a</p>")]
+    read = [(i, u, *html.page_lines(t)) for i, u, t in rows]
+    free = sorted((u.split("/")[2], "/" + u.split("/", 3)[3], i, out) for i, u, inside, out in read if not inside)
+    want = {i: "\n".join(inside) for i, _, inside, _ in read if inside}
+    for k, (host, path, i, mine) in enumerate(free):
+        sides = (reversed(free[:k]), free[k + 1 :])
+        near = [p for side in sides for p in [next((p for p in side if p[0] == host and p[3] != mine), None)] if p]
+        best = max(near, key=lambda p: html._alike(p[1], path), default=None)
+        want[i] = "\n".join(html._difference(mine, best[3]) if best else mine)
+    assert [want[i] for i in (990, 991, 993, 994)] == ["One", "One", "Three", "Welcome a"]
+    frame = sp.createDataFrame(rows, "page_id long, url string, html string")
+    before = sp.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 7, 61):
+            sp.conf.set("spark.sql.shuffle.partitions", n)
+            assert {r.page_id: r.text for r in html.main_text(frame).collect()} == want
+    finally:
+        sp.conf.set("spark.sql.shuffle.partitions", before)
+    assert html.main_text(frame.limit(0)).count() == 0
+
+
 def test_language_id(sp):
     rng = random.Random(8)
     vocabulary = {"aa": "the of and with this there".split(), "bb": "der und nicht mit über größe".split()}
