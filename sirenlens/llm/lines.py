@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from sirenlens.session import materialize
 
-RATIO = 0.05
-LEAST = 5
+#: Where on the given tables lines of a few sites (passages of near copies, chance) begin; see README.
+RATIO = 0.005
+#: Two pages with a line in common can be near copies: a site's template shows from the third page on.
+LEAST = 3
 
 
 def _lines(text: Column) -> Column:

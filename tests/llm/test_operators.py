@@ -171,6 +171,17 @@ def test_line_dedup(sp):
     assert lines.drop_boilerplate(documents(sp, []), host="source").count() == 0
 
 
+def test_line_dedup_of_large_and_small_sites(sp):
+    long = " ".join(f"word{k}" for k in range(60))
+    texts = [f"own {k}" + ("\nRights" if k < 4 else "\n" + long if k < 8 else "\ntwice" if k < 10 else "") for k in range(500)]
+    texts += [f"page {k}\nmenu" for k in range(3)] + ["left\nboth", "right\nboth"]
+    sources = ["large"] * 500 + ["small"] * 3 + ["pair"] * 2
+    got = {r.doc_id: r.text for r in lines.drop_boilerplate(documents(sp, texts, sources), host="source").collect()}
+    assert [got[k] for k in range(8)] == [f"own {k}" for k in range(8)]  # 4 of 500 pages
+    assert got[8] == "own 8\ntwice" and [got[500 + k] for k in range(3)] == ["page 0", "page 1", "page 2"]
+    assert got[503] == "left\nboth"  # two pages that share text can be near copies
+
+
 def test_mixing(sp):
     rng = random.Random(4)
     texts = [" ".join(["w"] * rng.randrange(1, 60)) for _ in range(5000)] + [None, "", "a " * 30_000]
