@@ -34,17 +34,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; rows repeated with one id
-    and text stay once. Documents without words are in no group."""
+    """One document of each group of near duplicates: the one with the smallest id, null ids last, then
+    the smallest text hash. Of rows repeated with one id and text the one with the smallest source and
+    language stays. Documents without words are in no group."""
     prepared(spark)
-    groups = materialize(jaccard.near_duplicates(docs), "pipeline-groups")
-    surplus = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    groups = materialize(jaccard.represented(docs), "pipeline-groups")
+    surplus = groups.where(~F.col("is_first"))
     surplus = surplus.select(F.col("doc_id").alias("_dup_id"), F.col("h").alias("_dup_h")).distinct()
     surplus = materialize(surplus, "pipeline-surplus")
     same = (F.xxhash64("text") == F.col("_dup_h")) & F.col("doc_id").eqNullSafe(F.col("_dup_id"))
     kept = docs.join(surplus, same, "left_anti")
     repeated = groups.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    if repeated.isEmpty():
+        return kept
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = sorted(others, key=("source", "lang", *others).index)
+    once = kept.groupBy("doc_id", "text").agg(F.min(F.struct(*order)).alias("_rep"))
+    return once.select(*[F.col(f"_rep.{c}" if c in order else c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -326,12 +326,18 @@ def linked_sets(segments: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id, h`` of every row of ``docs(doc_id, text)``.
+    """``doc_id, n_shingles, component_id, h`` of every row of ``docs(doc_id, text)``, see ``represented``."""
+    return represented(docs, size, percent).drop("is_first")
+
+
+def represented(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id, h, is_first`` of every row of ``docs(doc_id, text)``.
 
     Two rows link when ``100 * |intersection| >= percent * |union|``. ``component_id`` is the
     smallest ``doc_id`` of all rows that links lead to. A null text, or one without words, has no
     n-grams and its own id; ``h`` is a hash of the text, which tells rows of one id apart; fewer than ``size`` words are one n-gram. Null ids are kept and take
     part in links. Rows with equal sets are one set from the start, however many they are.
+    ``is_first`` holds for one ``(doc_id, h)`` of each component, the smallest with null ids last.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     counted = shared_counts(docs, size)
@@ -353,10 +359,15 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     root = components(linked_sets(segments, percent)).withColumnRenamed("node", "set_id")
     part = one.join(root, "set_id", "left").select("digest", F.coalesce("root", "set_id").alias("part"))
     named = materialize(able.join(part, "digest").select("doc_id", "h", "n", "part"), "ngram-named")
-    least = named.groupBy("part").agg(F.min("doc_id").alias("least"), F.count("*").alias("m"))
+    least = named.groupBy("part").agg(
+        F.min("doc_id").alias("least"), F.count("*").alias("m"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("rep"),
+    )
     least = materialize(least.where("m > 1"), "ngram-components")
     linked = named.join(least, "part", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
+    is_first = (F.col("rep.h") == F.col("h")) & F.col("rep.doc_id").eqNullSafe(F.col("doc_id"))
+    linked = linked.withColumn("is_first", F.col("rep").isNull() | is_first)
     # the others have no equal either: they are components of their own, and meet no join
-    alone = counted.where(~may_link).withColumn("component_id", F.col("doc_id"))
-    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "h"]
+    alone = counted.where(~may_link).withColumn("component_id", F.col("doc_id")).withColumn("is_first", F.lit(True))
+    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "h", "is_first"]
     return linked.select(columns).unionByName(alone.select(columns))

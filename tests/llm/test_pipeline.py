@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from sirenlens.llm import langid, lines
 from sirenlens.llm.common import prepared
 from tests.llm.test_operators import WORD, grams, groups
@@ -135,6 +136,19 @@ def test_every_stage_and_the_whole(spark, folder):
     assert sorted(map(str, whole)) == sorted(map(str, before))
 
 
+def test_one_document_of_a_group_stays_with_repeated_and_null_ids(spark):
+    rng = random.Random(17)
+    one, two, three = (prose(rng, "aa", 40) for _ in range(3))
+    texts = [(3, one), (3, one + " more"), (4, one + " again"), (None, two), (None, two + " more"), (None, two + " again"), (8, three), (8, three), (8, three), (9, "")]
+    rows = [(k, t, "ab"[i % 2], "zyx"[i % 3], 0, 1, "s", 2) for i, (k, t) in enumerate(texts)]
+    docs = prepared(spark).createDataFrame(rows, SCHEMA)
+    for frame in (docs, docs.orderBy(F.desc("source")).coalesce(1)):
+        got = corpus_pipeline.near_duplicates(spark, frame, "").collect()
+        assert Counter(r.doc_id for r in got) == {3: 1, None: 1, 8: 1, 9: 1}
+        assert [r.text.startswith(one) for r in got if r.doc_id == 3] == [True]
+        assert [(r.text, r.source, r.lang) for r in got if r.doc_id == 8] == [(three, "x", "a")]
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
