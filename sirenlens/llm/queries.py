@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sirenlens.llm import chat, decontaminate, html, jaccard, langid, lines, mixing, tokens, vectors, warc
+from sirenlens.llm import chat, decontaminate, html, jaccard, langid, lines, mixing, tokenids, tokens, vectors, warc
 from sirenlens.llm.common import prepared, table
 from sirenlens.session import shared_dir
 
@@ -84,3 +84,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     files = warc.write_archives(pages, warc.archive_folder(pages))
     return warc.read_archives(files)
+
+
+@query("op13_token_ids")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    files = tokenids.write_ids(table(spark, sf_dir, "documents"), folder)
+    return tokenids.read_digests(files)
