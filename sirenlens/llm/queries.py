@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sirenlens.llm import chat, decontaminate, html, jaccard, langid, lines, mixing, tokenids, tokens, vectors, warc
+from sirenlens.llm import chat, decontaminate, html, jaccard, langid, lines, mixing, tokenids, tokens, vectors, warc, whitening
 from sirenlens.llm.common import prepared, table
 from sirenlens.session import shared_dir
 
@@ -91,3 +92,10 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
     files = tokenids.write_ids(table(spark, sf_dir, "documents"), folder)
     return tokenids.read_digests(files)
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null where a long is too narrow for the deviation, which the operator gives in 38 digits."""
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
