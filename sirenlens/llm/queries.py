@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sirenlens.llm import chat, decontaminate, html, jaccard, langid, lines, mixing, tokenids, tokens, vectors, warc, whitening
+from sirenlens.llm import chat, decontaminate, html, jaccard, langid, lines, mixing, tokenids, tokens, trie, vectors, warc, whitening
 from sirenlens.llm.common import prepared, table
 from sirenlens.session import shared_dir
 
@@ -99,3 +99,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null where a long is too narrow for the deviation, which the operator gives in 38 digits."""
     out = whitening.whiten(table(spark, sf_dir, "embeddings"))
     return out.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+@query("op11_prefix_trie")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
