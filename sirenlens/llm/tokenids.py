@@ -40,8 +40,10 @@ BLOCK = 4096
 GROUP = 256
 #: Bytes of words after which a writing task begins another file, at the end of a document.
 FILE = 64 << 20
-#: Pieces of text whose ids a Python worker remembers; then it starts anew.
-REMEMBERED = 300_000
+#: Pieces of text whose ids a Python worker remembers (about 100 MB); then it starts anew.
+REMEMBERED = 500_000
+#: Pieces that the library gets as one text.
+LINES = 1000
 
 #: Ids in a word and bits of each, by selector; selector 0 is the escape.
 _COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -56,12 +58,8 @@ _MANIFEST = "path string, part long, number long, bytes long, n_ids long, n_docs
 
 
 def _widths(ids: np.ndarray) -> np.ndarray:
-    """Bits of each id."""
-    out = np.zeros(ids.shape, np.uint8)
-    for bits in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60):
-        out[ids >> _U(bits - 1) != 0] = bits
-        out[ids >> _U(bits) != 0] = bits + 1
-    return out
+    """Bits of each id; an id beyond 2**53 may seem one bit wider."""
+    return np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,32 +151,49 @@ def unpack(words: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarr
 # -- the ids of texts -------------------------------------------------------------------------
 
 
-def _cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Single spaces between two characters that are no white space, inside a text.
+#: ASCII punctuation that is no part of a contraction or of a special token's string.
+_MARKS = np.zeros(256, bool)
+_MARKS[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")] = True
+_LETTERS = np.zeros(256, bool)
+_LETTERS[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
 
-    The pre-tokenizer begins a new word at each. Places in doubt are left out: a longer piece is
+
+def _bounds(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where pieces begin and end: places at which the byte-level pre-tokenizer begins a new word.
+
+    These are the texts' own bounds, single spaces and line ends between two characters that are no
+    white space, and marks behind a Latin letter. Places in doubt are left out: a longer piece is
     encoded as it stands.
     """
-    at = np.flatnonzero(data == 32)
-    inside = np.ones(len(data) + 1, bool)
-    inside[starts] = False
-    at = at[inside[at] & inside[at + 1]]
-    if not len(at):
-        return at
-    after, one = data[at + 1], data[at - 1]
-    two, three = data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
-    good = (after > 32) & ~np.isin(after, (0xC2, 0xE1, 0xE2, 0xE3)) & (one > 32)
-    white = (two == 0xC2) & ((one == 0x85) | (one == 0xA0))
-    white |= (three == 0xE1) & (two == 0x9A) | (three == 0xE2) & ((two == 0x80) | (two == 0x81))
-    white |= (three == 0xE3) & (two == 0x80)
-    return at[good & ~((one >= 0x80) & white)]
+    n = len(data)
+    bound = np.zeros(n + 1, bool)
+    bound[starts] = True
+    at = np.flatnonzero((data == 32) | (data == 10))
+    at = at[~(bound[at] | bound[at + 1])]
+    if len(at):
+        after, one = data[at + 1], data[at - 1]
+        two, three = data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+        good = (after > 32) & ~np.isin(after, (0xC2, 0xE1, 0xE2, 0xE3)) & (one > 32)
+        white = (two == 0xC2) & ((one == 0x85) | (one == 0xA0))
+        white |= (three == 0xE1) & (two == 0x9A) | (three == 0xE2) & ((two == 0x80) | (two == 0x81))
+        white |= (three == 0xE3) & (two == 0x80)
+        at = at[good & ~((one >= 0x80) & white)]
+    at_mark = np.flatnonzero(_MARKS[data])
+    at_mark = at_mark[~bound[at_mark]]
+    one, two = data[at_mark - 1], data[np.maximum(at_mark - 2, 0)]
+    accented = (two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7)
+    bound[at_mark[_LETTERS[one] | accented]] = True
+    bound[at] = True
+    bound[at[data[at] == 10] + 1] = True
+    return np.flatnonzero(bound)
 
 
 class Encoder:
     """Ids of whole texts, each followed by ``end``; every distinct piece of text is encoded once.
 
-    A piece is what lies between two cuts, with its leading space: the library's result for a text
-    is that of its pieces in a row.
+    A piece is what lies between two bounds: the library's result for a text is that of its pieces
+    in a row. Pieces without white space inside go to the library many at a time, as lines of one
+    text. With another pre-tokenizer than the byte-level one a piece is a whole text.
     """
 
     def __init__(self, name: str, end: int):
@@ -189,24 +204,47 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.end = end
+        kind = str(self.library.pre_tokenizer)
+        self.cuts = kind.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in kind
+        self.cuts = self.cuts and self.library.normalizer is None
+        line_end = self.ids(["\n"])[0]
+        self.line_end = line_end[0] if self.cuts and len(line_end) == 1 else None
         self.forget()
 
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.first = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.held = np.zeros(0, np.uint32)
 
-    def learn(self, missing: list[bytes]) -> None:
-        texts = [m.decode() for m in missing]
-        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(counts.sum())
-        ids = np.fromiter((i for ids in found for i in ids), np.uint32, total)
-        self.known.update(zip(missing, range(len(self.known), len(self.known) + len(missing)), strict=True))
+    def _keep(self, pieces: list[bytes], counts: np.ndarray, ids: np.ndarray) -> None:
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
         self.first = np.concatenate([self.first, len(self.held) + np.cumsum(counts) - counts])
         self.count = np.concatenate([self.count, counts])
-        self.held = np.concatenate([self.held, ids])
+        self.held = np.concatenate([self.held, ids.astype(np.uint32)])
+
+    def learn(self, missing: list[bytes]) -> None:
+        lines, alone = ([], []), ([], [])
+        for piece in missing:
+            text = piece.decode()
+            words = text.split() if self.line_end is not None else ()
+            kept = lines if len(words) == 1 and (text == words[0] or text == " " + words[0]) else alone
+            kept[0].append(piece)
+            kept[1].append(text)
+        for k in range(0, len(lines[0]), LINES):
+            pieces = lines[0][k : k + LINES]
+            found = np.array(self.ids(["\n".join(lines[1][k : k + LINES])])[0], np.int64)
+            at = np.flatnonzero(found == self.line_end)
+            if len(at) != len(pieces) - 1:
+                raise ValueError("a line of pieces was not encoded as its pieces")
+            counts = np.diff(np.concatenate([[-1], at, [len(found)]])) - 1
+            self._keep(pieces, counts, found[found != self.line_end])
+        if alone[0]:
+            each = self.ids(alone[1])
+            self._keep(alone[0], np.array([len(e) for e in each], np.int64), np.array([i for e in each for i in e], np.int64))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows one after another, and how many each row has."""
@@ -214,7 +252,7 @@ class Encoder:
             self.forget()
         data, starts = raw(column)
         rows = len(starts) - 1
-        bounds = np.unique(np.concatenate([starts, _cuts(data, starts)]))
+        bounds = _bounds(data, starts) if self.cuts else np.unique(starts)
         pieces = pa.Array.from_buffers(
             pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
         ).dictionary_encode()
@@ -234,6 +272,16 @@ class Encoder:
         return out, of_row + 1
 
 
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder_for(tokenizer: str, end: int) -> Encoder:
+    """A Python worker keeps its encoder, and what it has learnt, from task to task."""
+    if (tokenizer, end) not in _encoders:
+        _encoders[tokenizer, end] = Encoder(tokenizer, end)
+    return _encoders[tokenizer, end]
+
+
 # -- writing ----------------------------------------------------------------------------------
 
 
@@ -289,7 +337,7 @@ def _write(folder: str, tokenizer: str, end: int):
     """Encode and write a partition. A task that runs again writes the same bytes to the same names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, end)
+        encoder = encoder_for(tokenizer, end)
         system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
         part, file, done = TaskContext.get().partitionId(), None, []
