@@ -234,19 +234,24 @@ def requests(members: DataFrame, table: DataFrame) -> DataFrame:
     )
 
 
-def lossless_violations(members: DataFrame, table: DataFrame) -> DataFrame:
-    """Fields that header plus row would not rebuild, or would invent; empty when lossless."""
-    entries = document_entries(members)
-    shared = shared_fields(entries, table)
+def rebuild_problems(entries: DataFrame, members: DataFrame, header: DataFrame, own: DataFrame) -> DataFrame:
+    """Fields that ``header`` and a member's ``own`` fields would not rebuild, or would invent."""
     keys = [*BATCH, "alert_id", "key", "value"]
-    from_header = members.select(*BATCH, "alert_id").join(shared, BATCH).select(*keys)
-    rebuilt = from_header.union(own_fields(entries, shared).select(*keys))
+    from_header = members.select(*BATCH, "alert_id").join(header, BATCH).select(*keys)
+    rebuilt = from_header.union(own.select(*keys))
     original = entries.select(*keys)
     lost = original.join(rebuilt, keys, "left_anti").withColumn("problem", F.lit("lost"))
     invented = rebuilt.join(original, keys, "left_anti").withColumn("problem", F.lit("invented"))
     return lost.union(invented)
 
 
+def lossless_violations(members: DataFrame, table: DataFrame) -> DataFrame:
+    """The problems of the requests as they are built; empty when these are lossless."""
+    entries = document_entries(members)
+    shared = shared_fields(entries, table)
+    return rebuild_problems(entries, members, shared, own_fields(entries, shared))
+
+
 # ------------------------------------------------------------------ calling and validating
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from sirenlens.functions import catalogs as K
 from sirenlens.functions.scalars import ratio
 from sirenlens.functions.text import id_list, strip
+from sirenlens.operators.ordered import with_running
+from sirenlens.session import materialize
 
 c = F.col
 
@@ -119,45 +121,45 @@ def attempt_summary(attempts: DataFrame, keys: list[str]) -> DataFrame:
     return sums.join(latency, keys)
 
 
+def drawn_group(sample: Column, slot: Column, groups: Column) -> Column:
+    """The group that a slot of a resample draws: a counter-based hash, so any task can draw any slot."""
+    digest = F.md5(F.concat_ws("|", sample.cast("string"), slot.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % groups
+
+
 def precision_interval(scored: DataFrame, keys: list[str], resamples: int = 1000) -> DataFrame:
-    """Descriptive 95 % interval of the high-finding precision from resampling whole groups.
+    """``groups, low, high``: descriptive 95 % interval of the high-finding precision, by resampling
+    whole groups with replacement.
 
-    Group totals (not cases) are replicated per resample. A group's weight in a resample is the
-    number of draws that fall on it, taken as a seeded Poisson(1) draw: independent per group,
-    so no resample needs to see all groups in one place.
+    The groups of a key are numbered densely, whatever their number. A resample has as many slots as
+    there are groups; each slot draws one, and only group totals meet the draws. Resamples without a
+    high finding have no precision. NULL under two groups, or where no group has a high finding.
     """
     totals = scored.groupBy(*keys, "group_key").agg(
         F.count_if(c("high_catalogue")).alias("high"),
         F.count_if(c("high_catalogue") & c("citation_correct")).alias("right"),
     )
-    seed = F.concat_ws("|", *keys, "group_key", c("sample").cast("string"))
-    draw = F.pmod(F.xxhash64(seed), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    steps, weight, tail, term = [], F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 9):
-        tail += term
-        steps.append(tail)
-        term /= k
-    for edge in steps:
-        weight = weight + F.when(draw >= edge, 1).otherwise(0)
-    drawn = totals.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    numbered = materialize(with_running(totals, keys, [c("group_key")]), "bootstrap-groups")
+    slots = numbered.where(c("group_size") > 1).select(
+        *keys, "group_size", (c("rank") - 1).alias("slot"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("sample")
+    )
+    drawn = slots.select(*keys, "sample", (drawn_group(c("sample"), c("slot"), c("group_size")) + 1).alias("rank"))
+    # how often a resample draws a group, then one join with the totals
+    drawn = drawn.groupBy(*keys, "sample", "rank").agg(F.count("*").alias("times"))
     per_sample = (
-        drawn.withColumn("w", weight)
+        drawn.join(numbered.where("high > 0").select(*keys, "rank", "high", "right"), [*keys, "rank"])
         .groupBy(*keys, "sample")
-        .agg(
-            F.sum(c("w") * c("high")).alias("high"), F.sum(c("w") * c("right")).alias("right")
-        )
-        .where(c("high") > 0)
-        .withColumn("precision", c("right") / c("high"))
+        .agg(F.sum(c("times") * c("high")).alias("high"), F.sum(c("times") * c("right")).alias("right"))
+        .select(*keys, (c("right") / c("high")).alias("precision"))
     )
     ranked = F.array_sort(F.collect_list("precision"))  # at most ``resamples`` values
     at = lambda q: F.element_at(
         c("p"), (F.floor((F.size("p") - 1) * F.lit(q)) + 1).cast("int")
     )
-    return (
-        per_sample.groupBy(*keys)
-        .agg(ranked.alias("p"))
-        .select(*keys, at(0.025).alias("low"), at(0.975).alias("high"))
-    )
+    interval = per_sample.groupBy(*keys).agg(ranked.alias("p"))
+    interval = interval.select(*keys, at(0.025).alias("low"), at(0.975).alias("high"))
+    counted = numbered.groupBy(*keys).agg(F.count("*").alias("groups"))
+    return counted.join(interval, keys, "left")
 
 
 def compare(before: DataFrame, after: DataFrame) -> DataFrame:

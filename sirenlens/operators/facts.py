@@ -10,6 +10,7 @@ from sirenlens.functions import catalogs as K
 from sirenlens.functions.instants import iso_instant
 from sirenlens.functions.text import rule_number
 from sirenlens.operators.published import current_publications
+from sirenlens.session import materialize
 
 c = F.col
 # counters whose absence means a counted zero
@@ -321,6 +322,54 @@ def figures(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     return df.select(*keys, F.inline(pairs))
 
 
+def digests(figures_: DataFrame, keys: list[str], of: list[str]) -> DataFrame:
+    """``of, rows, digest``: an order-free sum of row hashes, exact, for the figures of each ``of``."""
+    row = F.xxhash64(*keys, "figure", F.round(c("value"), 6)).cast("decimal(38,0)")
+    return figures_.groupBy(*of).agg(F.count("*").alias("rows"), F.sum(row).alias("digest"))
+
+
+def reconcile_by_digest(
+    expected: DataFrame, actual: DataFrame, keys: list[str], of: list[str]
+) -> tuple[DataFrame, DataFrame]:
+    """``(summary, differences)``: figures meet row by row only where the digests of their ``of`` differ.
+
+    ``of`` are the first of ``keys``, such as table and run. The summary has ``expected_rows``,
+    ``found_rows`` and whether all is ``equal`` within the tolerance; rounding that moves a digest but no
+    figure is equal. The differences are the rows that are not ``ok``.
+    """
+    wanted = digests(expected, keys, of).withColumnsRenamed({"rows": "expected_rows", "digest": "wanted"})
+    found = digests(actual, keys, of).withColumnsRenamed({"rows": "found_rows", "digest": "found"})
+    both = wanted.join(found, of, "full_outer").fillna(0, ["expected_rows", "found_rows"])
+    both = materialize(both.withColumn("alike", c("wanted").eqNullSafe(c("found"))), "figure-digests")
+    suspect = both.where(~c("alike")).select(*of)
+    compared = reconcile(expected.join(suspect, of, "left_semi"), actual.join(suspect, of, "left_semi"), keys)
+    bad = materialize(compared.where("status <> 'ok'"), "figure-differences")
+    kinds = [F.count_if(c("status") == k).alias(k) for k in ("missing", "unexpected", "different")]
+    counted = bad.groupBy(*of).agg(*kinds)
+    summary = both.join(counted, of, "left").fillna(0, ["missing", "unexpected", "different"])
+    equal = (c("missing") + c("unexpected") + c("different")) == 0
+    return summary.select(*of, "expected_rows", "found_rows", "missing", "unexpected", "different", equal.alias("equal")), bad
+
+
+FIGURE_KEYS = ["table", "run_id", "alert_schema", "item"]
+DAY_FIGURES = (
+    "alerts", "distinct_alerts", "alerts_per_hour", "flagged_by_rule", "flagged_by_llm", "needs_review",
+    "assessed_good", "unassessed", "suppressed", "unseen",
+)
+
+
+def fact_figures(daily_metrics: DataFrame, rule_counts: DataFrame, findings: DataFrame) -> DataFrame:
+    """Every figure that a published week is checked by: of days, of rules and of states."""
+    days = daily_metrics.withColumn("item", F.date_format("snapshot_date", "yyyy-MM-dd"))
+    rules = rule_counts.groupBy("run_id", "alert_schema", c("rule_id").alias("item")).agg(
+        F.sum("match_count").alias("match_count"), F.sum("distinct_count").alias("distinct_count")
+    )
+    states = findings.groupBy("run_id", "alert_schema", c("quality_state").alias("item")).agg(F.count("*").alias("alerts"))
+    named = (("days", days, DAY_FIGURES), ("rules", rules, ("match_count", "distinct_count")), ("states", states, ("alerts",)))
+    parts = [figures(df.withColumn("table", F.lit(t)), FIGURE_KEYS, list(names)) for t, df, names in named]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def state_partition(findings: DataFrame) -> DataFrame:
     """Identity states must partition the work list: per run, total against the sum of states."""
     return findings.groupBy("run_id").agg(

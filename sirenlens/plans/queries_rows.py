@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,17 +12,18 @@ from sirenlens.functions import scalars as X
 from sirenlens.functions import text as T
 from sirenlens.functions.instants import iso_date, iso_instant, parse_instant
 from sirenlens.functions.labels import RULE_LABELS, label_rows, rule_labels
+from sirenlens.operators import completeness as Cp
 from sirenlens.operators import facts as W
 from sirenlens.operators import published as P
 from sirenlens.operators import rules as R
 from sirenlens.operators.identity import ID, run_readiness
-from sirenlens.operators.window import reconcile_scan, require_complete, team_scan
+from sirenlens.operators.window import reconcile_scan, scope_alerts, team_scan
 from sirenlens.plans import sample
 from sirenlens.plans.base import day, n, query, us
 from sirenlens.plans.oracle import norm_field, norm_message, q, sql
 from sirenlens.plans.store import stored, window_analysis
 from sirenlens.plans.team_week import run_rows
-from sirenlens.session import shared_dir
+from sirenlens.session import materialize, shared_dir
 from sirenlens.sources.documents import normalize_documents
 from sirenlens.sources.events import alerts_from_events
 from sirenlens.sources.registry import registry_from_text
@@ -35,26 +37,6 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/events.parquet")
 
 
-def pick(*options: str | None) -> Column:
-    """A value by ``event_id`` modulo the number of options; ``{}`` stands for the event id."""
-    value = F.lit(None).cast("string")
-    for i, option in enumerate(options):
-        filled = F.lit(option) if option is None or "{}" not in option else F.replace(
-            F.lit(option), F.lit("{}"), c("event_id").cast("string")
-        )
-        value = F.when(c("event_id") % len(options) == i, filled).otherwise(value)
-    return value
-
-
-def pick_sql(*options: str | None) -> str:
-    cases = " ".join(
-        f"WHEN {i} THEN "
-        + ("CAST(NULL AS VARCHAR)" if o is None else f"replace({q(o)}, '{{}}', CAST(event_id AS VARCHAR))")
-        for i, o in enumerate(options)
-    )
-    return f"CASE event_id % {len(options)} {cases} END"
-
-
 # ------------------------------------------------------------------ scans, sources, sinks
 
 
@@ -79,22 +61,34 @@ def s03(spark: SparkSession, sf: str) -> DataFrame:
     return window_analysis(spark, sf).scoped.select("run_id", "team_id", "alert_schema", "seq", "application", "key_field")
 
 
-@query("s04_complete_scan", sql("SELECT run_id, alert_schema, count(*) AS reported_total, count(*) AS scanned, true AS complete FROM scoped GROUP BY ALL"))
+#: Rows that the scan of s04 does not see.
+LOST_SQL = "alert_schema = 'v1' AND operator = 'op-c' AND seq % 40 = 7"
+
+
+@query("s04_complete_scan", sql(f"SELECT run_id, alert_schema, count(*) AS reported_total, count(*) FILTER (NOT ({LOST_SQL})) AS scanned, count(*) FILTER ({LOST_SQL}) = 0 AS complete FROM scoped GROUP BY ALL"))
 def s04(spark: SparkSession, sf: str) -> DataFrame:
+    """The source's totals by hour, kept on arrival, against a scan that loses rows of one operator."""
     a = window_analysis(spark, sf)
-    owner = F.when((c("alert_schema") == "v2") & (c("operator") == "OP-B"), "team-a").when(
-        (c("alert_schema") == "v1") & c("operator").isin("op-a", "op-b"), "team-a"
-    ).when((c("alert_schema") == "v1") & (c("operator") == "op-c"), "team-b")
-    reported = (
-        alerts_from_events(spark, sf)
-        .where((c("ts") >= F.lit(START)) & (c("ts") < F.lit(sample.RUN_AT)))
-        .select("alert_schema", owner.alias("team_id"))
-        .where(c("team_id").isNotNull())
-        .groupBy("team_id", "alert_schema")
-        .agg(F.count("*").alias("reported_total"))
-        .join(a.runs.select("run_id", "team_id"), "team_id")
-    )
-    return require_complete(reconcile_scan(a.scoped, reported.drop("team_id")))
+    totals = materialize(Cp.source_totals(a.alerts), "source-totals")
+    reported = Cp.reported_totals(totals, a.reg.team_operators, a.runs).where("reported_total > 0")
+    seen = scope_alerts(a.alerts.where(~F.expr(LOST_SQL)), a.reg.team_operators, a.runs, a.span)
+    return reconcile_scan(seen, reported)
+
+
+@query("s04_source_files", """SELECT event_type, expected, found, CASE WHEN found IS NULL THEN 'missing' WHEN expected IS NULL THEN 'unexpected' WHEN found < expected THEN 'short' WHEN found > expected THEN 'long' ELSE 'ok' END AS status
+FROM (SELECT event_type, CASE WHEN event_type <> 'signup' THEN count(*) END AS expected,
+CASE WHEN event_type = 'click' THEN count(*) FILTER (event_id % 10 <> 3) WHEN event_type = 'view' THEN 2 * count(*) WHEN event_type <> 'error' THEN count(*) END AS found FROM events GROUP BY event_type) x""")
+def s04b(spark: SparkSession, sf: str) -> DataFrame:
+    """A manifest of the files that arrived against the footers of those that are there: one is gone, one
+    is short, one was written twice, and one is not in the manifest."""
+    e = events(spark, sf).select("event_id", "event_type")
+    folder = f"{shared_dir(spark)}/source-{uuid.uuid4().hex}"
+    kept = e.where((c("event_type") != "error") & ~((c("event_type") == "click") & (c("event_id") % 10 == 3)))
+    kept.union(kept.where("event_type = 'view'")).write.partitionBy("event_type").parquet(folder)
+    of_type = F.regexp_extract("file", "event_type=([^/]*)", 1).alias("event_type")
+    found = Cp.footer_counts(spark, folder).groupBy(of_type).agg(F.sum("rows").alias("rows"))
+    manifest = e.where("event_type <> 'signup'").groupBy("event_type").agg(F.count("*").alias("rows"))
+    return Cp.file_problems(manifest, found, ["event_type"])
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -202,13 +196,24 @@ def s11c(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-FORMULA = ("={}", "+{}", "-{}", "@{}", "{}", "a={}", None)
-
-
-@query("s12_formula_cells", f"SELECT event_id, coalesce(CASE WHEN regexp_matches(v, '^[=+@-]') THEN '''' || v ELSE v END, '') AS cell FROM (SELECT event_id, {pick_sql(*FORMULA)} AS v FROM events) t")
+@query("s12_formula_cells", """SELECT k, coalesce(CASE WHEN regexp_matches(v, '^[=+@-]') THEN '''' || v ELSE v END, '') AS cell
+FROM (SELECT 'b' || c_custkey AS k, CAST(CAST(c_acctbal AS DECIMAL(18, 2)) AS VARCHAR) AS v FROM customer UNION ALL
+SELECT 'n' || c_custkey, CASE WHEN c_acctbal >= 5000 THEN '=' || c_name WHEN c_acctbal >= 0 THEN c_name END FROM customer UNION ALL
+SELECT 'u' || page_id, substr(url, strpos(url, '/')) FROM pages UNION ALL SELECT 'p' || page_id, substr('@+=-a', CAST(1 + length(url) % 5 AS INT)) || url FROM pages) t""")
 def s12(spark: SparkSession, sf: str) -> DataFrame:
-    cells = events(spark, sf).select("event_id", pick(*FORMULA).alias("v"))
-    return cells.select("event_id", W.csv_text("v", "string").alias("cell"))
+    """Balances of either sign, names, parts of addresses."""
+    customer, pages = spark.read.parquet(f"{sf}/customer.parquet"), spark.read.parquet(f"{sf}/pages.parquet")
+    key = lambda tag, name: F.concat(F.lit(tag), c(name).cast("string")).alias("k")
+    balance = c("c_acctbal")
+    name = F.when(balance >= 5000, F.concat(F.lit("="), c("c_name"))).when(balance >= 0, c("c_name"))
+    marked = F.concat(F.substring(F.lit("@+=-a"), 1 + F.length("url") % 5, F.lit(5)), c("url"))
+    cells = (
+        customer.select(key("b", "c_custkey"), balance.cast("decimal(18,2)").cast("string").alias("v"))
+        .union(customer.select(key("n", "c_custkey"), name))
+        .union(pages.select(key("u", "page_id"), F.substr("url", F.instr("url", "/"))))
+        .union(pages.select(key("p", "page_id"), marked))
+    )
+    return cells.select("k", W.csv_text("v", "string").alias("cell"))
 
 
 @query("s13_read_back_order", sql("SELECT run_id, alert_schema, CAST(snapshot_date AS VARCHAR) AS snapshot_date, rule_id, row_number() OVER (PARTITION BY run_id ORDER BY alert_schema, snapshot_date, CAST(substr(rule_id, 2) AS INT)) AS position FROM rule_days", "weekly"))
@@ -245,16 +250,25 @@ def p02(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).select("event_id", get("$.n").alias("number_text"), get("$.o").alias("object_text"), get("$.t").alias("plain_text"))
 
 
-STAMPS = ("2024-01-02T03:04:05.678Z", "2024-01-02T03:04:05+02:00", "2024-01-02 03:04", "2024-01-02",
-          "20240102T030405", "2024-W01-2", "12:00", "2024-1-2", "not-a-time", "2024-13-01", None,
-          "2024-01-02T03:04:05,25Z")
-STAMP_US = (1704164645678000, 1704157445000000, 1704164640000000, 1704153600000000, 1704164645000000,
-            1704153600000000, None, None, None, None, None, 1704164645250000)
+#: How an instant is written, and what of it a reader gets back, in microseconds.
+WRITTEN = (
+    ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "us"), ("yyyy-MM-dd'T'HH:mm:ss.SSS'+02:00'", "us - us % 1000 - 7200000000"),
+    ("yyyy-MM-dd HH:mm", "us - us % 60000000"), ("yyyy-MM-dd", "us - us % 86400000000"),
+    ("yyyyMMdd'T'HHmmss", "us - us % 1000000"), ("yyyy-MM-dd'T'HH:mm:ss,SS'Z'", "us - us % 10000"),
+    ("HH:mm", "NULL"), ("yyyy-M-d'T'", "NULL"), ("yyyy-'13'-dd", "NULL"),
+)
 
 
-@query("p03_parse_instant", "SELECT event_id, CAST(CASE event_id % 12 " + " ".join(f"WHEN {i} THEN {v if v is not None else 'NULL'}" for i, v in enumerate(STAMP_US)) + " END AS BIGINT) AS parsed_us FROM events")
+@query("p03_parse_instant", "SELECT event_id, form, CAST(CASE form " + " ".join(f"WHEN {i} THEN {v}" for i, (_, v) in enumerate(WRITTEN))
+       + f" END AS BIGINT) AS parsed_us FROM (SELECT event_id, epoch_us(ts) AS us, form FROM events, range({len(WRITTEN)}) r(form)) e "
+       "UNION ALL SELECT event_id, 99, NULL FROM events")
 def p03(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).select("event_id", F.unix_micros(parse_instant(pick(*STAMPS))).alias("parsed_us"))
+    """Every event's instant in nine forms, and text that is none."""
+    e = events(spark, sf).withColumn("ts", c("ts").cast("timestamp"))
+    texts = [F.struct(F.lit(i).cast("long").alias("form"), F.date_format("ts", f).alias("t")) for i, (f, _) in enumerate(WRITTEN)]
+    texts.append(F.struct(F.lit(99).cast("long").alias("form"), c("props").alias("t")))
+    spread = e.select("event_id", F.inline(F.array(*texts)))
+    return spread.select("event_id", "form", F.unix_micros(parse_instant(c("t"))).alias("parsed_us"))
 
 
 @query("p04_utc_date", sql("SELECT seq, CAST(snapshot_date AS VARCHAR) AS snapshot_date FROM alerts"))
@@ -262,53 +276,79 @@ def p04(spark: SparkSession, sf: str) -> DataFrame:
     return alerts_from_events(spark, sf).select("seq", day())
 
 
-CODES = ("5", " 4 ", "3", "1", "2", "007", "Critical", "  ", None, "-1", "warning ")
-LABELS = {"v1": ("error", "major", "warning", "clear", "2", "7", "Critical", None, None, "-1", "warning"),
-          "v2": ("critical", "high", "warning", "clear", "2", "7", "Critical", None, None, "-1", "warning")}
+#: A severity as a document has it: padded digits, a name, or neither.
+SEVERITY_SQL = (
+    "CASE WHEN user_id % 3 = 0 THEN ' ' || upper(event_type) || ' ' WHEN user_id % 3 = 1 THEN '  ' "
+    "WHEN event_id % 2 = 0 THEN ' ' || CAST(user_id % 7 AS VARCHAR) ELSE '00' || CAST(user_id % 7 AS VARCHAR) END"
+)
+SEVERITY = SEVERITY_SQL.replace("VARCHAR", "STRING")
 
 
-@query("p05_severity_label", f"SELECT event_id, CASE WHEN user_id % 2 = 0 THEN {pick_sql(*LABELS['v1'])} ELSE {pick_sql(*LABELS['v2'])} END AS label FROM events")
+@query("p05_severity_label", f"""SELECT event_id, s.schema, CASE WHEN t = '' THEN NULL WHEN n IS NULL THEN t ELSE coalesce(
+CASE s.schema WHEN 'v1' THEN CASE n WHEN 5 THEN 'error' WHEN 4 THEN 'major' WHEN 3 THEN 'warning' WHEN 1 THEN 'clear' END
+ELSE CASE n WHEN 5 THEN 'critical' WHEN 4 THEN 'high' WHEN 3 THEN 'warning' WHEN 1 THEN 'clear' END END, CAST(n AS VARCHAR)) END AS label
+FROM (SELECT event_id, t, try_cast(t AS INT) AS n FROM (SELECT event_id, trim({SEVERITY_SQL}) AS t FROM events) x) e, (VALUES ('v1'), ('v2')) s(schema)""")
 def p05(spark: SparkSession, sf: str) -> DataFrame:
-    schema = F.when(c("user_id") % 2 == 0, "v1").otherwise("v2")
-    return events(spark, sf).select("event_id", X.severity_label(schema, pick(*CODES)).alias("label"))
+    both = events(spark, sf).select("event_id", F.expr(SEVERITY).alias("v"), F.explode(F.array(F.lit("v1"), F.lit("v2"))).alias("schema"))
+    return both.select("event_id", "schema", X.severity_label(c("schema"), c("v")).alias("label"))
 
 
-NAMES = ("error", " Critical ", "MAJOR", "high", "warning", "clear", "fatal")
+@query("p06_severity_code", """SELECT 'e' || event_id AS k, CASE WHEN event_type = 'error' AND user_id % 3 < 2 THEN 5 END AS code FROM events UNION ALL
+SELECT 'o' || o_orderkey, CASE lower(substr(o_orderpriority, 3)) WHEN 'high' THEN 4 END FROM orders""")
+def p06(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of event types, some of them spoilt, and of order priorities, without their number."""
+    e, o = events(spark, sf), spark.read.parquet(f"{sf}/orders.parquet")
+    said = F.when(c("user_id") % 3 == 0, F.concat(F.lit("\t"), F.upper("event_type"), F.lit(" "))).when(
+        c("user_id") % 3 == 1, c("event_type")
+    ).otherwise(F.concat("event_type", F.lit("s")))
+    names = e.select(F.concat(F.lit("e"), c("event_id").cast("string")).alias("k"), said.alias("v")).union(
+        o.select(F.concat(F.lit("o"), c("o_orderkey").cast("string")), F.substr("o_orderpriority", F.lit(3)))
+    )
+    return names.select("k", X.severity_code(c("v")).alias("code"))
 
 
-@query("p06_severity_code", "SELECT event_id, CAST(CASE event_id % 7 WHEN 0 THEN 5 WHEN 1 THEN 5 WHEN 2 THEN 4 WHEN 3 THEN 4 WHEN 4 THEN 3 WHEN 5 THEN 1 END AS INT) AS code FROM events")
-def p06(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).select("event_id", X.severity_code(pick(*NAMES)).alias("code"))
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet")
 
 
-TEXTS = ("  Error \t Occurred.  ", "'OK!'", "\n I  am   ALIVE !!", "(n/a)", "$ok+", "value {}", "...", "", None)
+def turns(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/conversations.parquet")
 
 
-@query("p07_normalize_field", f"SELECT event_id, {norm_field('v')} AS normalized FROM (SELECT event_id, {pick_sql(*TEXTS)} AS v FROM events) t")
+@query("p07_normalize_field", f"SELECT doc_id, length(t) AS chars, md5(t) AS digest FROM (SELECT doc_id, {norm_field('text')} AS t FROM documents) x")
 def p07(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).select("event_id", T.normalize_field(pick(*TEXTS)).alias("normalized"))
+    """Whole documents."""
+    t = documents(spark, sf).select("doc_id", T.normalize_field(c("text")).alias("t"))
+    return t.select("doc_id", F.char_length("t").cast("long").alias("chars"), F.md5(F.encode("t", "utf-8")).alias("digest"))
 
 
-@query("p08_normalize_message", f"SELECT event_id, {norm_message('v')} AS normalized FROM (SELECT event_id, {pick_sql(*TEXTS)} AS v FROM events) t")
+@query("p08_normalize_message", f"SELECT conv_id, turn, {norm_message('text')} AS normalized FROM conversations")
 def p08(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).select("event_id", T.normalize_message(pick(*TEXTS)).alias("normalized"))
+    return turns(spark, sf).select("conv_id", "turn", T.normalize_message(c("text")).alias("normalized"))
 
 
-BLANKS = ("", "  ", "\t\n", "x", " x ", None)
-
-
-@query("p09_is_blank", "SELECT event_id, event_id % 6 NOT IN (3, 4) AS blank FROM events")
+@query("p09_is_blank", r"SELECT doc_id, count(*) AS lines, count(*) FILTER (regexp_replace(line, '\s+', '', 'g') = '') AS blank FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) x GROUP BY 1")
 def p09(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).select("event_id", T.is_blank(pick(*BLANKS)).alias("blank"))
+    """Every line of every document."""
+    spread = documents(spark, sf).select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    return spread.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(T.is_blank(c("line"))).alias("blank"))
 
 
-URLS = ("http:runbook", "https:/single", "https://host:8080/p", "mailto:x@y", "https://u@:80", "HTTPS://H?x",
-        "https://", "ftp://host", "runbooks/{}", None, "https:////deep/{}")
+#: What can be made of a page's address (other slashes, other schemes, no host), and whether it names
+#: a host still where the page's own address does.
+ADDRESSES = (
+    ("url", True), ("upper(replace(url, '://', ':'))", True), ("replace(url, '://', ':////user:pw@')", True),
+    ("replace(url, 'http', 'ftp')", False), ("substr(url, instr(url, '/'))", False), ("'https://?' || url", False),
+    ("'http://user@:80/' || string(page_id)", False), ("'see ' || url", False),
+)
 
 
-@query("p10_http_url", "SELECT event_id, event_id % 11 IN (0, 1, 2, 5, 10) AS is_url FROM events")
+@query("p10_http_url", "SELECT page_id, " + ", ".join(
+    f"coalesce({str(same).lower()} AND regexp_matches(url, '^https?://[^/?#:@]'), false) AS a{i}" for i, (_, same) in enumerate(ADDRESSES)
+) + " FROM pages")
 def p10(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).select("event_id", X.is_http_url(pick(*URLS)).alias("is_url"))
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    return pages.select("page_id", *[X.is_http_url(F.expr(e)).alias(f"a{i}") for i, (e, _) in enumerate(ADDRESSES)])
 
 
 @query("p11_ratio", "SELECT event_id, CAST(user_id AS DOUBLE) / nullif(event_id % 5, 0) AS ratio FROM events")
@@ -401,12 +441,10 @@ def p25(spark: SparkSession, sf: str) -> DataFrame:
     return P.filter_worklist(alerts, "v1", "rule_flagged", "R7", attention_only=True).select(*ID)
 
 
-LISTS = ("R1,R2", " R3 , ,R4,", "", None, ",,", "P1")
-
-
-@query("p26_id_list", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'R1|R2' WHEN 1 THEN 'R3|R4' WHEN 5 THEN 'P1' ELSE '' END AS ids FROM events")
+@query("p26_id_list", r"SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), ','), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), '|') AS ids FROM conversations")
 def p26(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).select("event_id", F.array_join(T.id_list(pick(*LISTS)), "|").alias("ids"))
+    """The comma-joined parts of every turn."""
+    return turns(spark, sf).select("conv_id", "turn", F.array_join(T.id_list(c("text")), "|").alias("ids"))
 
 
 @query("p27_rule_key", sql("SELECT seq, CASE WHEN trim(coalesce(alert_rule_url, '')) <> '' THEN 'url:' || trim(alert_rule_url) ELSE 'app:' || application END AS rule_key FROM alerts"))

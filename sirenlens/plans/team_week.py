@@ -15,6 +15,7 @@ from sirenlens.operators import episodes as E
 from sirenlens.operators import identity as I
 from sirenlens.operators import suppression as V
 from sirenlens.operators import volume as D
+from sirenlens.operators.completeness import ObservedScan
 from sirenlens.operators.rules import phase_of
 from sirenlens.operators.window import day_buckets, scope_alerts
 from sirenlens.session import materialize, together
@@ -30,7 +31,8 @@ class Analysis:
     episodes and identities. Each step is planned when it is first asked for.
 
     With ``cut`` the small intermediates that several facts read (signatures, identity days,
-    identities) are written once and read back.
+    identities) are written once and read back. With ``reported`` (the source's own totals by run and
+    schema) the pass over the rows is observed, and ``prefetch`` refuses an incomplete one.
     """
 
     def __init__(
@@ -40,8 +42,10 @@ class Analysis:
         runs: DataFrame,
         span: tuple[datetime, datetime],
         cut: bool = False,
+        reported: DataFrame | None = None,
     ) -> None:
         self.alerts, self.reg, self.runs, self.span, self.cut = alerts, reg, runs, span, cut
+        self.reported = reported
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         return materialize(df, name) if self.cut else df
@@ -50,8 +54,16 @@ class Analysis:
         """The three passes over the rows are independent of each other: run them side by side."""
         self.scoped, self.panel_plans  # noqa: B018 - shared inputs, planned once
         together(lambda: self.signatures, lambda: self.representatives, lambda: self.episodes)
+        if self.observed is not None:
+            self.observed.check()
         return self
 
+    @cached_property
+    def observed(self) -> ObservedScan | None:
+        # an observed pass keeps all columns that reach it
+        rows = self.scoped.drop("raw", "doc_hash", "seq")
+        return None if self.reported is None else ObservedScan(rows, self.reported)
+
     @cached_property
     def scoped(self) -> DataFrame:
         return scope_alerts(self.alerts, self.reg.team_operators, self.runs, self.span)
@@ -66,7 +78,8 @@ class Analysis:
 
     @cached_property
     def signatures(self) -> DataFrame:
-        return self._keep(V.signatures(self.scoped, self.panel_plans), "signatures")
+        rows = self.scoped if self.observed is None else self.observed.rows
+        return self._keep(V.signatures(rows, self.panel_plans), "signatures")
 
     @cached_property
     def guarded(self) -> DataFrame:
@@ -294,9 +307,12 @@ def compute_facts(
     call: L.Call | None = None,
     verdicts: DataFrame | None = None,
     disabled_reason: str = "LLM assessment did not run",
+    reported: DataFrame | None = None,
 ) -> Facts:
-    """Run the whole job. Without ``call`` every eligible identity is unassessed, with a reason."""
-    a = Analysis(alerts, reg, runs, span, cut=True).prefetch()
+    """Run the whole job. Without ``call`` every eligible identity is unassessed, with a reason.
+
+    With the source's ``reported`` totals an incomplete scan is an ``IncompleteScan`` before any fact."""
+    a = Analysis(alerts, reg, runs, span, cut=True, reported=reported).prefetch()
     batches = attempts = fresh = None
     if call is None:
         outcomes = L.mark_unassessed(a.identities.where(c("llm_eligible")), disabled_reason)
