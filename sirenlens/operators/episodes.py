@@ -32,7 +32,12 @@ def slice_of(us: Column) -> Column:
 
 def instants(rows: DataFrame, keys: tuple[str, ...] = IDENTITY) -> DataFrame:
     """Firing and clearing rows per identity and instant (fires precede clears in one instant)."""
-    us = rows.withColumn("us", F.unix_micros("ts")).withColumn("clear", is_clear())
+    return instants_of(rows.withColumn("clear", is_clear()), keys)
+
+
+def instants_of(rows: DataFrame, keys: tuple[str, ...] = IDENTITY) -> DataFrame:
+    """The instants of rows that are known to ``clear`` or to fire."""
+    us = rows.withColumn("us", F.unix_micros("ts"))
     return (
         us.groupBy(*keys, "us")
         .agg(
@@ -202,7 +207,11 @@ def firing_from_slices(
 
 def firing_facts(rows: DataFrame, keys: tuple[str, ...] = IDENTITY) -> DataFrame:
     """Episode facts of every identity, before the pattern is judged."""
-    scanned = scan_slices(instants(rows, keys), keys)
+    return firing_of_instants(instants(rows, keys), keys)
+
+
+def firing_of_instants(points: DataFrame, keys: tuple[str, ...] = IDENTITY) -> DataFrame:
+    scanned = scan_slices(points, keys)
     return firing_from_slices(summarize_slices(scanned, keys), scanned.where(c("cycle")), keys)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sirenlens.functions import catalogs as K
+from sirenlens.operators.attach import attach
 from sirenlens.operators.rules import CORE_MASK, with_rule_mask
 from sirenlens.sources.registry import Registry
 from sirenlens.sources.schema import IDENTITY
@@ -307,7 +308,7 @@ def _leaf_hides(leaf: Column) -> Column:
 def mark_visibility(scoped: DataFrame, plans: DataFrame) -> DataFrame:
     """Per row: which suppression leaves exclude it and whether every panel's identity
     narrowing hides it. NULL never matches and never hides."""
-    joined = scoped.join(plans, ["team_id", "alert_schema"], "left")
+    joined = attach(scoped, plans, ["team_id", "alert_schema"], ["application", "key_field", "ts"])
     hits = F.transform(
         F.filter("suppression_leaves", _leaf_matches), lambda leaf: leaf["leaf_id"]
     )
@@ -331,7 +332,11 @@ def signatures(scoped: DataFrame, plans: DataFrame) -> DataFrame:
     Everything the rule counts, the guard and the visibility figures need survives; event
     volume does not. Partial aggregation collapses a hot identity before the shuffle.
     """
-    marked = mark_visibility(with_rule_mask(scoped), plans)
+    return signatures_of(mark_visibility(with_rule_mask(scoped), plans))
+
+
+def signatures_of(marked: DataFrame) -> DataFrame:
+    """The signatures of rows that are judged already."""
     return marked.groupBy(
         "team_id", *IDENTITY, "snapshot_date", "rule_mask", "hit_leaves", "hidden"
     ).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
@@ -404,7 +409,8 @@ def active_panels(reg: Registry, guarded: DataFrame, runs: DataFrame) -> DataFra
 def resolve_visibility(sigs: DataFrame, active: DataFrame) -> DataFrame:
     """Signatures with ``suppressed`` (excluded by every panel) and ``unseen`` (hidden by every
     panel and not suppressed). ``has_panel`` keeps *not measured* apart from zero."""
-    joined = sigs.join(active, ["run_id", "alert_schema"], "left")
+    spread = ["application", "key_field", "snapshot_date", "rule_mask"]
+    joined = attach(sigs, active, ["run_id", "alert_schema"], spread)
     every = F.forall("panels", lambda p: F.arrays_overlap(p, c("hit_leaves")))
     suppressed = F.coalesce((F.size("panels") > 0) & every, F.lit(False))
     return (

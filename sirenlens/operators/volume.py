@@ -27,12 +27,16 @@ def scope_counts(scoped: DataFrame) -> DataFrame:
     """Per day: rows, distinct (application, component), and the node diagnostic, in which only
     rows with a node name take part on both sides. A NULL component equals an empty one."""
     node = F.when(~is_blank(c("node_name")), c("node_name"))
-    finest = (
-        scoped.withColumn("component", F.coalesce("component", F.lit("")))
-        .withColumn("node", node)
-        .groupBy(*DAY, "application", "component", "node")
-        .agg(F.count("*").alias("n"))
-    )
+    named = scoped.withColumn("component", F.coalesce("component", F.lit(""))).withColumn("node", node)
+    return counts_of_scopes(scopes_of(named))
+
+
+def scopes_of(rows: DataFrame) -> DataFrame:
+    """Rows per day and scope: application, component and node (NULL without a name)."""
+    return rows.groupBy(*DAY, "application", "component", "node").agg(F.count("*").alias("n"))
+
+
+def counts_of_scopes(finest: DataFrame) -> DataFrame:
     scopes = finest.groupBy(*DAY, "application", "component").agg(
         F.sum("n").alias("n"), F.count("node").alias("nodes")
     )
@@ -48,13 +52,13 @@ def distinct_counts(identity_days: DataFrame) -> DataFrame:
     return identity_days.groupBy(*DAY).agg(F.count("*").alias("distinct_alerts"))
 
 
-def daily_volume(buckets: DataFrame, scoped: DataFrame, identity_days: DataFrame) -> DataFrame:
-    """Volume of every bucket, empty buckets kept."""
+def daily_volume(buckets: DataFrame, scope_days: DataFrame, identity_days: DataFrame) -> DataFrame:
+    """Volume of every bucket, empty buckets kept, from the ``scope_counts`` of the rows."""
     counts = ("alerts", "distinct_alerts", "node_name_numerator", "node_name_denominator",
               "key_inflation_denominator")
     joined = (
         schema_days(buckets)
-        .join(scope_counts(scoped), DAY, "left")
+        .join(scope_days, DAY, "left")
         .join(distinct_counts(identity_days), DAY, "left")
     )
     filled = joined.fillna(0, subset=list(counts))

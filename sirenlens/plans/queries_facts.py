@@ -57,7 +57,7 @@ _FOUND = " UNION ALL ".join(
 
 @query("a04_rule_evidence", sql(f"SELECT {ID_SQL}, rule_id, count(*) AS matched_rows, epoch_us(min(ts)) AS first_us, true AS has_evidence FROM ({_FOUND}) x GROUP BY ALL", "wide"))
 def a04(spark: SparkSession, sf: str) -> DataFrame:
-    found = I.rule_evidence(window_analysis(spark, sf, FAN).scoped)
+    found = window_analysis(spark, sf, FAN).evidence
     return found.select(*ID, "rule_id", "matched_rows", us("first_ts", "first_us"), c("evidence").isNotNull().alias("has_evidence"))
 
 
@@ -118,7 +118,7 @@ def d02(spark: SparkSession, sf: str) -> DataFrame:
 
 def _volume(spark: SparkSession, sf: str) -> DataFrame:
     a = window_analysis(spark, sf)
-    return D.daily_volume(Wn.day_buckets(a.runs), a.scoped, D.plain_identity_days(a.scoped))
+    return D.daily_volume(Wn.day_buckets(a.runs), D.scope_counts(a.scoped), D.plain_identity_days(a.scoped))
 
 
 @query("d03_daily_volume", sql("SELECT run_id, team_id, alert_schema, CAST(snapshot_date AS VARCHAR) AS snapshot_date, covered_hours, alerts, distinct_alerts, alerts_per_hour FROM volume"))

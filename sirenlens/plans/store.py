@@ -95,12 +95,22 @@ class Tables:
     facts: Facts
 
 
-_stores: dict[tuple[str, str], Tables] = {}
-_analyses: dict[tuple[str, str, str], Analysis] = {}
+_stores: dict[tuple[str, ...], Tables] = {}
+_analyses: dict[tuple[str, ...], Analysis] = {}
 
 
-def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str, str]:
+    """A session, a folder, and the state of its events: changed files are another key."""
+    path = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        c("_metadata.file_path"), c("_metadata.file_size"), c("_metadata.file_modification_time")
+    )
+    state = path.distinct().agg(F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first()[0]
+    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), str(state))
+
+
+def forget() -> None:
+    """Drop the one-window and weekly analyses, so that a timed query does all its work; stored facts stay."""
+    _analyses.clear()
 
 
 def stored(spark: SparkSession, sf_dir: str) -> Tables:
@@ -137,7 +147,7 @@ def stored(spark: SparkSession, sf_dir: str) -> Tables:
 
 
 def window_analysis(spark: SparkSession, sf_dir: str, fan: int | None = None) -> Analysis:
-    """The one-window analysis of both teams, as lazy plans."""
+    """The one-window analysis of both teams; what several facts read is written when first asked for."""
     key = (*_key(spark, sf_dir), str(fan))
     if key not in _analyses:
         tune(spark)
@@ -147,6 +157,7 @@ def window_analysis(spark: SparkSession, sf_dir: str, fan: int | None = None) ->
             sample.registry(spark),
             sample.runs(spark, specs),
             span_of(specs),
+            cut=True,
         )
     return _analyses[key]
 
@@ -161,5 +172,6 @@ def weekly_analysis(spark: SparkSession, sf_dir: str) -> Analysis:
             sample.registry(spark),
             sample.runs(spark, specs),
             span_of(specs),
+            cut=True,
         )
     return _analyses[key]

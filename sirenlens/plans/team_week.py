@@ -13,6 +13,7 @@ from sirenlens.functions import catalogs as K
 from sirenlens.operators import classify as L
 from sirenlens.operators import episodes as E
 from sirenlens.operators import identity as I
+from sirenlens.operators import rowfacts as R
 from sirenlens.operators import suppression as V
 from sirenlens.operators import volume as D
 from sirenlens.operators.completeness import ObservedScan
@@ -51,17 +52,18 @@ class Analysis:
         return materialize(df, name) if self.cut else df
 
     def prefetch(self) -> Analysis:
-        """The three passes over the rows are independent of each other: run them side by side."""
-        self.scoped, self.panel_plans  # noqa: B018 - shared inputs, planned once
-        together(lambda: self.signatures, lambda: self.representatives, lambda: self.episodes)
+        """Two passes over the events: one judges all rows, one fetches those that are shown. What
+        follows from either runs side by side."""
+        self.rows  # noqa: B018 - shared input, written once
         if self.observed is not None:
             self.observed.check()
+        together(lambda: self.signatures, lambda: self.shown, lambda: self.episodes, lambda: self.scope_days)
         return self
 
     @cached_property
     def observed(self) -> ObservedScan | None:
         # an observed pass keeps all columns that reach it
-        rows = self.scoped.drop("raw", "doc_hash", "seq")
+        rows = self.scoped.drop("raw", "doc_hash")
         return None if self.reported is None else ObservedScan(rows, self.reported)
 
     @cached_property
@@ -76,10 +78,34 @@ class Analysis:
     def panel_plans(self) -> DataFrame:
         return materialize(V.panel_plans(self.reg, self.leaves), "panel-plans")
 
+    @cached_property
+    def rows(self) -> DataFrame:
+        scoped = self.scoped if self.observed is None else self.observed.rows
+        return self._keep(R.narrow_rows(scoped, self.panel_plans), "rows")
+
     @cached_property
     def signatures(self) -> DataFrame:
-        rows = self.scoped if self.observed is None else self.observed.rows
-        return self._keep(V.signatures(rows, self.panel_plans), "signatures")
+        return self._keep(V.signatures_of(self.rows), "signatures")
+
+    @cached_property
+    def newest(self) -> DataFrame:
+        return self._keep(R.newest(self.rows), "newest")
+
+    @cached_property
+    def first_findings(self) -> DataFrame:
+        return self._keep(R.first_findings(self.rows), "first-findings")
+
+    @cached_property
+    def shown(self) -> DataFrame:
+        return self._keep(R.shown_rows(self.scoped, self.newest, self.first_findings), "shown")
+
+    @cached_property
+    def evidence(self) -> DataFrame:
+        return R.evidence_of(self.shown, self.first_findings)
+
+    @cached_property
+    def scope_days(self) -> DataFrame:
+        return self._keep(D.counts_of_scopes(D.scopes_of(self.rows)), "scope-days")
 
     @cached_property
     def guarded(self) -> DataFrame:
@@ -87,7 +113,7 @@ class Analysis:
 
     @cached_property
     def active(self) -> DataFrame:
-        return V.active_panels(self.reg, self.guarded, self.runs)
+        return self._keep(V.active_panels(self.reg, self.guarded, self.runs), "active-panels")
 
     @cached_property
     def unmeasured(self) -> DataFrame:
@@ -95,11 +121,11 @@ class Analysis:
 
     @cached_property
     def representatives(self) -> DataFrame:
-        return self._keep(I.representatives(self.scoped), "representatives")
+        return self._keep(R.representatives_of(self.shown, self.newest), "representatives")
 
     @cached_property
     def episodes(self) -> DataFrame:
-        return self._keep(E.firing_facts(self.scoped), "episodes")
+        return self._keep(E.firing_of_instants(E.instants_of(self.rows)), "episodes")
 
     @cached_property
     def firing(self) -> DataFrame:
@@ -151,9 +177,7 @@ def quality_state() -> Column:
 
 def finding_rows(a: Analysis, outcomes: DataFrame) -> DataFrame:
     """``alert_findings``: one row per identity, exactly one quality state each."""
-    entries = I.rule_evidence(a.scoped).select(
-        *ID, "rule_id", "matched_rows", "first_ts", "evidence"
-    ).union(I.late_evidence(a.identities, a.active))
+    entries = a.evidence.union(I.late_evidence(a.identities, a.active))
     joined = (
         a.identities.join(outcomes.drop("reused"), ID, "left")
         .join(I.evidence_documents(entries), ID, "left")
@@ -239,7 +263,7 @@ def states_of(identities: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def daily_metric_rows(a: Analysis, outcomes: DataFrame) -> DataFrame:
-    volume = D.daily_volume(day_buckets(a.runs), a.scoped, a.identity_days)
+    volume = D.daily_volume(day_buckets(a.runs), a.scope_days, a.identity_days)
     return D.daily_metrics(
         volume, a.identity_days, states_of(a.identities, outcomes), a.unmeasured
     )
@@ -313,6 +337,16 @@ def compute_facts(
 
     With the source's ``reported`` totals an incomplete scan is an ``IncompleteScan`` before any fact."""
     a = Analysis(alerts, reg, runs, span, cut=True, reported=reported).prefetch()
+    return facts_of(a, call, verdicts, disabled_reason)
+
+
+def facts_of(
+    a: Analysis,
+    call: L.Call | None = None,
+    verdicts: DataFrame | None = None,
+    disabled_reason: str = "LLM assessment did not run",
+) -> Facts:
+    """The fact tables of an analysis, of a batch or of a stream."""
     batches = attempts = fresh = None
     if call is None:
         outcomes = L.mark_unassessed(a.identities.where(c("llm_eligible")), disabled_reason)
@@ -323,7 +357,7 @@ def compute_facts(
         daily_metrics=daily_metric_rows(a, outcomes),
         daily_rule_counts=rule_count_rows(a),
         alert_findings=finding_rows(a, outcomes),
-        run_panels=V.panel_participation(reg, a.guarded, runs),
+        run_panels=V.panel_participation(a.reg, a.guarded, a.runs),
         batches=batches,
         attempts=attempts,
         new_verdicts=fresh,

@@ -14,6 +14,7 @@ from typing import TypeVar
 from pyspark.sql import DataFrame, SparkSession
 
 T = TypeVar("T")
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -88,18 +89,22 @@ def together(*jobs: Callable[[], T]) -> list[T]:
 
 @contextmanager
 def state_partitions(spark: SparkSession, partitions: int | None) -> Iterator[None]:
-    """Start stateful streams with ``partitions`` partitions of state.
+    """Start stateful streams with ``partitions`` partitions of state, kept in RocksDB.
 
     A stream keeps that number as long as its checkpoint: choose it for the largest state expected.
     None leaves the session's ``spark.sql.shuffle.partitions``.
     """
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(partitions or before))
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+    if partitions:
+        wanted["spark.sql.shuffle.partitions"] = str(partitions)
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def ship_package(spark: SparkSession) -> SparkSession:

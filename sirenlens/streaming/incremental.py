@@ -1,28 +1,41 @@
 """The same facts from a stream.
 
-Each micro-batch is reduced to mergeable partials (signatures, instants) that are written under
-its batch number, so a replayed batch overwrites itself. A finalizer adds the partials up and
-runs the batch steps on them; whatever needs the whole window (the blast-radius guard) happens
-only there.
+Each micro-batch is reduced to mergeable partials (signatures, instants, scopes, the newest and the
+shown rows) that are written as one run of a log. Runs are merged, a few of one level into one of the
+next, as in a log-structured store; a manifest, committed last, names those that count, so a replayed
+batch overwrites its own run and a failed merge leaves nothing behind. When the watermark has passed a
+week's end, the finalizer adds up the runs and computes its facts, once; whatever needs the whole
+window (the blast-radius guard) happens only there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import pandas as pd
+from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from sirenlens.operators import classify as L
 from sirenlens.operators import episodes as E
+from sirenlens.operators import facts as W
+from sirenlens.operators import rowfacts as R
 from sirenlens.operators import suppression as V
+from sirenlens.operators import volume as D
+from sirenlens.plans.team_week import Analysis, Facts, facts_of
 from sirenlens.session import state_partitions
+from sirenlens.sources.registry import Registry
 from sirenlens.sources.schema import IDENTITY
 
 c = F.col
 ID = list(IDENTITY)
 SIGNATURE_KEYS = ["team_id", *ID, "snapshot_date", "rule_mask", "hit_leaves", "hidden"]
+#: Runs of one level that are merged into one of the next.
+FAN = 4
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -36,22 +49,110 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int | N
 # ------------------------------------------------------------------ partial facts
 
 
-def _write(df: DataFrame, folder: str, table: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{folder}/{table}/batch={batch_id}")
+PROGRESS = "max_us BIGINT, late BIGINT, kept BIGINT"
+MANIFEST = "run STRING, level INT"
 
 
-def _read(spark: SparkSession, folder: str, table: str, schema: str) -> DataFrame:
-    return spark.read.schema(f"{schema}, batch BIGINT").parquet(f"{folder}/{table}")
+def partials_of(owned: DataFrame, plans: DataFrame) -> dict[str, DataFrame]:
+    """What a set of rows contributes to the facts; ``merged`` adds such tables up."""
+    rows = R.narrow_rows(owned, plans)
+    last, first = R.newest(rows), R.first_findings(rows)
+    return {
+        "signatures": V.signatures_of(rows),
+        "instants": E.instants_of(rows),
+        "scopes": D.scopes_of(rows),
+        "newest": last,
+        "first_findings": first,
+        "shown": R.shown_rows(owned, last, first),
+    }
 
 
-PROGRESS = "max_us BIGINT, late BIGINT, kept BIGINT"
+def _merge_first(df: DataFrame) -> DataFrame:
+    placed = df.withColumnsRenamed({"first_ts": "ts", "first_seq": "seq"}).withColumn("place", R.place())
+    least = placed.groupBy(*ID, "rule_id").agg(F.sum("matched_rows").alias("matched_rows"), F.min("place").alias("place"))
+    return R.with_place(least)
+
 
+MERGE: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "signatures": lambda df: df.groupBy(*SIGNATURE_KEYS).agg(
+        F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")
+    ),
+    # rows of one instant meet whatever batches they came in, so fires precede clears at an instant
+    # across batches too
+    "instants": lambda df: df.groupBy(*ID, "us", "slice").agg(
+        F.sum("fires").alias("fires"), F.sum("clears").alias("clears")
+    ),
+    "scopes": lambda df: df.groupBy(*D.DAY, "application", "component", "node").agg(F.sum("n").alias("n")),
+    "newest": lambda df: df.groupBy("team_id", *ID).agg(F.max("ts").alias("ts")),
+    "first_findings": _merge_first,
+}
 
-def watermark_us(spark: SparkSession, folder: str, batch_id: int, delay_us: int) -> int | None:
-    """The newest instant of earlier batches minus the delay: the same on every replay."""
-    if batch_id == 0:
+
+class Log:
+    """The partial facts under ``folder``: ``runs/<run>/<table>``, and manifests by version."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+
+    def manifest(self, below: int | None = None) -> list[tuple[str, int]]:
+        """``(run, level)`` of the newest manifest, or of the newest below a version."""
+        try:
+            rows = self.spark.read.schema(f"{MANIFEST}, version BIGINT").parquet(f"{self.folder}/manifest")
+        except AnalysisException:  # nothing committed yet
+            return []
+        rows = rows if below is None else rows.where(c("version") < below)
+        newest = rows.agg(F.max("version")).first()[0]
+        return sorted((r.run, r.level) for r in rows.where(c("version") == newest).collect()) if newest is not None else []
+
+    def commit(self, version: int, runs: list[tuple[str, int]]) -> None:
+        rows = self.spark.createDataFrame(runs, MANIFEST).coalesce(1)
+        rows.write.mode("overwrite").parquet(f"{self.folder}/manifest/version={version}")
+
+    def read(self, table: str, runs: list[str] | None = None) -> DataFrame:
+        """A table over ``runs`` (all that count), merged."""
+        names = runs if runs is not None else [run for run, _ in self.manifest()]
+        held = self.spark.read.parquet(*[f"{self.folder}/runs/{n}/{table}" for n in names])
+        if table == "shown":
+            return held.join(self._shown_instants(names), [*ID, "ts"], "left_semi") if len(names) > 1 else held
+        return MERGE[table](held) if len(names) > 1 else held
+
+    def _shown_instants(self, names: list[str]) -> DataFrame:
+        last, first = self.read("newest", names), self.read("first_findings", names)
+        return last.select(*ID, "ts").union(first.select(*ID, c("first_ts").alias("ts"))).distinct()
+
+    def write(self, run: str, tables: dict[str, DataFrame]) -> None:
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{self.folder}/runs/{run}/{name}")
+
+    def add(self, version: int, run: str) -> None:
+        """Add a written run, merge levels that are full, commit, and drop what no replay can ask for.
+
+        The run of a batch that is replayed has its name already; the manifest before it decides.
+        """
+        before = self.manifest(below=version)
+        runs = [*[r for r in before if r[0] != run], (run, 0)]
+        level = 0
+        while len(full := [r for r, n in runs if n == level]) >= FAN:
+            joined = f"level{level + 1}-{version:09d}"
+            self.write(joined, {t: self.read(t, full) for t in (*MERGE, "shown")})
+            runs = [(r, n) for r, n in runs if n != level] + [(joined, level + 1)]
+            level += 1
+        self.commit(version, runs)
+        gone = {r for r, _ in self.manifest(below=version - 1)} - {r for r, _ in [*before, *runs]}
+        for name in gone:
+            system, path = fs.FileSystem.from_uri(f"{self.folder}/runs/{name}")
+            if system.get_file_info(path).type != fs.FileType.NotFound:
+                system.delete_dir(path)
+
+
+def watermark_us(spark: SparkSession, folder: str, batch_id: int | None, delay_us: int) -> int | None:
+    """The newest instant of earlier batches (of all of them, without a batch) minus the delay: the
+    same on every replay."""
+    try:
+        seen = spark.read.schema(f"{PROGRESS}, batch BIGINT").parquet(f"{folder}/progress")
+    except AnalysisException:
         return None
-    seen = _read(spark, folder, "progress", PROGRESS).where(c("batch") < batch_id)
+    seen = seen if batch_id is None else seen.where(c("batch") < batch_id)
     newest = seen.agg(F.max("max_us")).first()[0]
     return None if newest is None else newest - delay_us
 
@@ -70,11 +171,11 @@ def ingest_batch(scope, plans: DataFrame, folder: str, delay_us: int):
                 F.count_if(late).alias("late"),
                 F.count_if(~late).alias("kept"),
             )
-            owned = scope(rows.where(~late))
-            _write(V.signatures(owned, plans), folder, "signatures", batch_id)
-            _write(E.instants(owned), folder, "instants", batch_id)
+            log, run = Log(spark, folder), f"batch-{batch_id:09d}"
+            log.write(run, partials_of(scope(rows.where(~late)), plans))
+            log.add(batch_id, run)
             # progress last: it marks the batch complete for the batches after it
-            _write(progress, folder, "progress", batch_id)
+            progress.write.mode("overwrite").parquet(f"{folder}/progress/batch={batch_id}")
         finally:
             rows.unpersist()
 
@@ -97,31 +198,84 @@ def ingest(
 
 def merged_signatures(spark: SparkSession, folder: str) -> DataFrame:
     """All batches' signatures added up: what one pass over all rows would give."""
-    return (
-        spark.read.parquet(f"{folder}/signatures")
-        .groupBy(*SIGNATURE_KEYS)
-        .agg(
-            F.sum("n").alias("n"),
-            F.min("first_ts").alias("first_ts"),
-            F.max("last_ts").alias("last_ts"),
-        )
-    )
+    return Log(spark, folder).read("signatures")
 
 
 def merged_instants(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of one instant meet here whatever batches they came in, so fires precede clears at
-    an instant across batch boundaries too."""
-    return (
-        spark.read.parquet(f"{folder}/instants")
-        .groupBy(*ID, "us", "slice")
-        .agg(F.sum("fires").alias("fires"), F.sum("clears").alias("clears"))
-    )
+    return Log(spark, folder).read("instants")
 
 
 def late_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return _read(spark, folder, "progress", PROGRESS).agg(
-        F.sum("late").alias("late"), F.sum("kept").alias("kept")
-    )
+    held = spark.read.schema(f"{PROGRESS}, batch BIGINT").parquet(f"{folder}/progress")
+    return held.agg(F.sum("late").alias("late"), F.sum("kept").alias("kept"))
+
+
+class StreamAnalysis(Analysis):
+    """The analysis of ``runs`` from partial facts: what a batch reads from rows is added up from runs."""
+
+    def __init__(self, spark: SparkSession, folder: str, reg: Registry, runs: DataFrame, cut: bool = True) -> None:
+        super().__init__(None, reg, runs, None, cut)  # no rows and no span: they are gone
+        self.log = Log(spark, folder)
+
+    def _of_runs(self, table: str) -> DataFrame:
+        mine = self.log.read(table).join(self.runs.select("run_id"), "run_id", "left_semi")
+        return self._keep(mine, f"stream-{table}")
+
+    @cached_property
+    def signatures(self) -> DataFrame:
+        return self._of_runs("signatures")
+
+    @cached_property
+    def newest(self) -> DataFrame:
+        return self._of_runs("newest")
+
+    @cached_property
+    def first_findings(self) -> DataFrame:
+        return self._of_runs("first_findings")
+
+    @cached_property
+    def shown(self) -> DataFrame:
+        return self._of_runs("shown")
+
+    @cached_property
+    def episodes(self) -> DataFrame:
+        return self._keep(E.firing_of_instants(self._of_runs("instants")), "episodes")
+
+    @cached_property
+    def scope_days(self) -> DataFrame:
+        return self._keep(D.counts_of_scopes(self._of_runs("scopes")), "scope-days")
+
+
+def finalize_due(
+    spark: SparkSession, folder: str, reg: Registry, runs: DataFrame, delay_us: int, call: L.Call | None = None
+) -> Facts | None:
+    """The facts of every week whose end the watermark has passed and that has none yet; None without one.
+
+    A week is replaced as a whole and marked afterwards, so a finalizer that fails does it again.
+    """
+    mark = watermark_us(spark, folder, None, delay_us)
+    if mark is None:
+        return None
+    due = runs.where(F.unix_micros("window_end") <= mark)
+    try:
+        due = due.join(spark.read.parquet(f"{folder}/finalized"), "run_id", "left_anti")
+    except AnalysisException:  # nothing finalized yet
+        pass
+    if due.isEmpty():
+        return None
+    facts = facts_of(StreamAnalysis(spark, folder, reg, due), call)
+    tables = {
+        "runs": facts.runs, "daily_metrics": facts.daily_metrics, "daily_rule_counts": facts.daily_rule_counts,
+        "alert_findings": facts.alert_findings, "run_panels": facts.run_panels,
+    }
+    for name, df in tables.items():
+        W.replace_runs(df, f"{folder}/facts/{name}")
+    due.select("run_id").write.mode("append").parquet(f"{folder}/finalized")
+    return facts
+
+
+def stored_facts(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/facts/{table}")
 
 
 def finalize_firing(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,9 +291,6 @@ SLICE_SCHEMA = (
     "head_us long, tail_fires long, tail_us long, inner_fires long, edge_clear boolean, "
     "cycle_us array<long>"
 )
-STATE_SCHEMA = "us array<long>, fires array<long>, clears array<long>"
-
-
 def summarize_instants(points: list[tuple[int, int, int]]) -> dict:
     """One slice's ordered instants ``(us, fires, clears)`` as a slice summary."""
     closed_runs: list[tuple[int, int | None]] = []
@@ -171,32 +322,44 @@ def summarize_instants(points: list[tuple[int, int, int]]) -> dict:
     }
 
 
-def _hold_slice(
-    key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    """Buffer a slice's instants until the watermark has passed it, then emit its summary."""
-    held: dict[int, list[int]] = {}
-    if state.exists:
-        for us, f, k in zip(*state.get, strict=True):
-            held[us] = [f, k]
-    if state.hasTimedOut:
-        points = [(us, f, k) for us, (f, k) in sorted(held.items())]
-        state.remove()
+class SliceProcessor(StatefulProcessor):
+    """Hold a slice's instants until the watermark has passed it, then emit its summary.
+
+    The instants are a map by their microsecond: a batch writes the ones that it brings and no others.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.points = handle.getMapState("points", "us long", "fires long, clears long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        fresh: dict[int, tuple[int, int]] = {}
+        for frame in rows:
+            summed = frame.groupby("us", as_index=False)[["fires", "clears"]].sum()
+            for us, fires, clears in zip(summed["us"], summed["fires"], summed["clears"], strict=True):
+                f, k = fresh.get(int(us), (0, 0))
+                fresh[int(us)] = (f + int(fires), k + int(clears))
+        if not self.points.exists():  # the first rows of a slice set its timer
+            end_ms = (int(key[4]) + 1) * E.SLICE_US // 1000
+            self.handle.registerTimer(max(end_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        for us, (fires, clears) in fresh.items():
+            if self.points.containsKey((us,)):
+                f, k = self.points.getValue((us,))
+                fires, clears = fires + f, clears + k
+            self.points.updateValue((us,), (fires, clears))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        points = sorted((us[0], *value) for us, value in self.points.iterator())
+        self.points.clear()
         names = ("run_id", "alert_schema", "application", "key_field", "slice")
-        row = {**dict(zip(names, key, strict=True)), **summarize_instants(points)}
-        frame = pd.DataFrame([row])
+        frame = pd.DataFrame([{**dict(zip(names, key, strict=True)), **summarize_instants(points)}])
         for name in ("head_us", "tail_fires", "tail_us", "inner_fires"):
             frame[name] = frame[name].astype("Int64")
         yield frame
-        return
-    for frame in frames:
-        for us, fires, clears in frame[["us", "fires", "clears"]].itertuples(index=False):
-            entry = held.setdefault(int(us), [0, 0])
-            entry[0] += int(fires)
-            entry[1] += int(clears)
-    state.update((list(held), [v[0] for v in held.values()], [v[1] for v in held.values()]))
-    end_ms = (int(key[4]) + 1) * E.SLICE_US // 1000
-    state.setTimeoutTimestamp(max(end_ms, state.getCurrentWatermarkMs() + 1))
+
+    def close(self) -> None:
+        pass
 
 
 INSTANT_KEYS = ["alert_schema", "operator", "application", "key_field"]
@@ -222,8 +385,8 @@ def slice_stream(owned: DataFrame) -> DataFrame:
     placed = owned.select(
         *ID, "ts", F.unix_micros("ts").alias("us"), "fires", "clears"
     ).withColumn("slice", E.slice_of(c("us")))
-    return placed.groupBy(*ID, "slice").applyInPandasWithState(
-        _hold_slice, SLICE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
+    return placed.groupBy(*ID, "slice").transformWithStateInPandas(
+        SliceProcessor(), SLICE_SCHEMA, outputMode="Append", timeMode="EventTime"
     )
 
 
