@@ -11,8 +11,11 @@ from sirenlens.session import tune
 #: Spark's own setting: the shuffle files of a query go when it ends, not when garbage is collected.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-#: Rows of an Arrow batch: documents can be long, so a batch holds few.
-BATCH_ROWS = "1000"
+#: Rows and bytes of an Arrow batch: documents can be long, so a batch holds few.
+BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def prepared(spark: SparkSession) -> SparkSession:
     tune(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) != BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    for key, value in BATCH.items():
+        if spark.conf.get(key) != value:
+            spark.conf.set(key, value)
     return spark
 
 

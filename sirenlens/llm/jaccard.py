@@ -24,14 +24,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sirenlens.llm.common import components, materialize, shuffle_partitions
-from sirenlens.llm.words import shingles, words
+from sirenlens.llm.words import by_bytes, shingles, words
 
 SIZE = 5
 PERCENT = 75
 #: Fragments in which the overlap of a pair is counted (the top bits of a hash).
 PAIR_FRAGMENTS = 8
-#: N-grams gathered before a task hands its packed fragments on (64 MB of hashes).
-GATHERED = 8_000_000
+#: Bytes of text whose n-grams a task gathers before it hands them on (about a million n-grams), and
+#: what a row counts besides its text.
+GATHERED, ROW = 6 << 20, 64
+#: Bytes of text for each fragment of the n-gram order (about five million n-grams), where the cluster
+#: does not deal more finely.
+FRAGMENT = 32 << 20
 
 
 _PACKED = "kind byte, batch binary, fragment long, doc_id long, h long, n long, digest binary, data binary"
@@ -90,8 +94,11 @@ def _pack(sets: list[np.ndarray], ids: list, keys: list, fragments: int) -> Iter
         if not len(mine) and not len(several):
             continue
         once, more = (((x - np.uint64(k * span)) >> low_bits).astype(np.uint32) for x in (everything[mine], several))
-        of_doc = np.bincount(documents[mine], minlength=rows).astype(np.uint32)
-        data.append(b"".join(x.tobytes() for x in (np.array([rows], np.uint32), of_doc, once, more)))
+        # the documents that have n-grams here, and how many each
+        first = np.flatnonzero(np.diff(documents[mine], prepend=-1))
+        who, many = documents[mine[first]], np.diff(np.append(first, len(mine)))
+        head = np.concatenate([[len(who)], who, many]).astype(np.uint32)
+        data.append(b"".join(x.tobytes() for x in (head, once, more)))
         where.append(k)
     yield pa.record_batch(
         [
@@ -121,13 +128,16 @@ def _fragments_of(size: int, fragments: int):
         sets: list[np.ndarray] = []
         ids: list = []
         keys: list = []
+        held = 0
         for batch in batches:
-            sets.extend(sets_of(batch["text"], size))
-            ids.extend(batch["doc_id"].to_pylist())
-            keys.extend(batch["h"].to_pylist())
-            if sum(map(len, sets)) >= GATHERED:
-                yield from _pack(sets, ids, keys, fragments)
-                sets, ids, keys = [], [], []
+            for part, weight in by_bytes(batch, "text", GATHERED, ROW):
+                sets.extend(sets_of(part["text"], size))
+                ids.extend(part["doc_id"].to_pylist())
+                keys.extend(part["h"].to_pylist())
+                held += weight
+                if held >= GATHERED:
+                    yield from _pack(sets, ids, keys, fragments)
+                    sets, ids, keys, held = [], [], [], 0
         if sets:
             yield from _pack(sets, ids, keys, fragments)
 
@@ -149,11 +159,11 @@ def _count_fragment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         mine = [(b, np.frombuffer(d, np.uint32)) for b, f, d in held if f == fragment]
         once, docs, twice = [], [], []
         for _, x in mine:
-            rows = int(x[0])
-            who = np.repeat(np.arange(rows), x[1 : 1 + rows])
+            pairs = int(x[0])
+            who = np.repeat(x[1 : 1 + pairs], x[1 + pairs : 1 + 2 * pairs])
             docs.append(who)
-            once.append(x[1 + rows : 1 + rows + len(who)])
-            twice.append(x[1 + rows + len(who) :])
+            once.append(x[1 + 2 * pairs : 1 + 2 * pairs + len(who)])
+            twice.append(x[1 + 2 * pairs + len(who) :])
         low = np.concatenate(once)
         everything = np.concatenate([low, *twice, *twice])
         order = np.argsort(everything, kind="stable")
@@ -204,9 +214,11 @@ def shared_counts(docs: DataFrame, size: int = SIZE) -> DataFrame:
     ``h`` tells rows of one id apart; ``n`` is the size of the set, ``digest`` stands for it (null for
     the empty set), ``shared`` is how many of its n-grams another row has as well.
     """
-    fragments = shuffle_partitions(docs.sparkSession)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    fragments = max(shuffle_partitions(docs.sparkSession), -(-total // FRAGMENT))
     packed = docs.select("doc_id", "h", "text").mapInArrow(_fragments_of(size, fragments), _PACKED)
-    counted = packed.repartition(fragments, "fragment").mapInArrow(_count_fragment, _PACKED)
+    dealt = packed.repartitionById(fragments, F.col("fragment").cast("int"))
+    counted = dealt.mapInArrow(_count_fragment, _PACKED)
     return materialize(counted.groupBy("batch").applyInArrow(_sum_batch, _COUNTED), "ngram-counts")
 
 

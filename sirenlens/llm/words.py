@@ -70,6 +70,19 @@ def pieces(starts: np.ndarray) -> Iterator[tuple[int, int]]:
         first = last
 
 
+def by_bytes(batch: pa.RecordBatch, column: str, most: int, row: int) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """Slices of at most ``most`` bytes, a longer row on its own, with their bytes. A row counts as the
+    bytes of its text and ``row`` more."""
+    _, starts = raw(batch[column])
+    weight = starts + row * np.arange(len(starts))
+    first = 0
+    while first < batch.num_rows:
+        last = int(np.searchsorted(weight, weight[first] + most, side="right")) - 1
+        last = max(last, first + 1)
+        yield batch.slice(first, last - first), int(weight[last] - weight[first])
+        first = last
+
+
 def spans(inside: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of every run of marked bytes; a run never crosses a row."""
     n = len(inside)
