@@ -7,10 +7,13 @@ everything before and after it is DataFrame work.
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +21,7 @@ from sirenlens.functions import catalogs as K
 from sirenlens.functions.scalars import enc_int, enc_list, enc_text, stable_hash
 from sirenlens.functions.text import field_in, is_blank
 from sirenlens.operators.ordered import with_running
-from sirenlens.session import materialize, together
+from sirenlens.session import materialize, shared_dir, together
 from sirenlens.sources.schema import IDENTITY
 
 c = F.col
@@ -51,6 +54,23 @@ def reuse_verdicts(eligible: DataFrame, verdicts: DataFrame) -> tuple[DataFrame,
     return reused, eligible.join(stored, VERDICT_KEY, "left_anti")
 
 
+def first_weeks(remaining: DataFrame) -> DataFrame:
+    """The alerts to ask about now: of each verdict key those of its first week (then run) that is left."""
+    turn = F.struct("window_end", "run_id")
+    first = remaining.groupBy(*VERDICT_KEY).agg(F.min("window_end").alias("window_end"))
+    runs = remaining.join(first, [*VERDICT_KEY, "window_end"]).groupBy(*VERDICT_KEY).agg(F.min(turn).alias("turn"))
+    asking = runs.select(*VERDICT_KEY, "turn.run_id")
+    return remaining.join(asking, [*VERDICT_KEY, "run_id"], "left_semi")
+
+
+def key_verdicts(answers: DataFrame, members: DataFrame) -> DataFrame:
+    """One verdict for each key that was answered; of several the first in order of their values."""
+    said = ["assessment", "principle_id", "confidence", "justification"]
+    keyed = answers.select(*BATCH, "alert_id", *said).join(members.select(*BATCH, "alert_id", *VERDICT_KEY), [*BATCH, "alert_id"])
+    best = keyed.groupBy(*VERDICT_KEY).agg(F.min(F.struct(*said)).alias("said"))
+    return best.select(*VERDICT_KEY, "said.*")
+
+
 def transport_id() -> Column:
     return stable_hash(
         {
@@ -255,25 +275,61 @@ def lossless_violations(members: DataFrame, table: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ calling and validating
 
 
+class Answers:
+    """Responses kept by batch and attempt under a shared folder: put if absent, and read before calling."""
+
+    def __init__(self, folder: str) -> None:
+        self.system, self.root = fs.FileSystem.from_uri(folder)
+        self.system.create_dir(self.root, recursive=True)
+
+    def _name(self, run_id: str, batch_id: str, attempt: int) -> str:
+        return f"{self.root}/{attempt}-{run_id}-{batch_id}.json"
+
+    def get(self, run_id: str, batch_id: str, attempt: int) -> dict | None:
+        name = self._name(run_id, batch_id, attempt)
+        if self.system.get_file_info(name).type == fs.FileType.NotFound:
+            return None
+        with self.system.open_input_file(name) as file:
+            return json.loads(file.read())
+
+    def put(self, run_id: str, batch_id: str, attempt: int, answer: dict) -> dict:
+        """The answer that stays: the first one. It appears under its name when it is complete."""
+        if (stored := self.get(run_id, batch_id, attempt)) is not None:
+            return stored
+        draft = f"{self.root}/.{uuid.uuid4().hex}"
+        with self.system.open_output_stream(draft) as out:
+            out.write(json.dumps(answer).encode())
+        self.system.move(draft, self._name(run_id, batch_id, attempt))
+        return answer
+
+
 def call_batches(
-    todo: DataFrame, call: Call, attempt: int, concurrent: int = CONCURRENT_CALLS
+    todo: DataFrame, call: Call, attempt: int, concurrent: int = CONCURRENT_CALLS, folder: str | None = None
 ) -> DataFrame:
     """One attempt of every batch in ``todo``, dealt to ``concurrent`` tasks; a failed call is a
-    row, never an exception."""
+    row, never an exception.
+
+    With ``folder`` (shared by all executors) a batch that has an answer to this attempt is not asked
+    again, whichever task gave it: a task that runs twice calls once.
+    """
     columns = [*BATCH, "request_text"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = Answers(folder) if folder else None
         for frame in frames:
             rows = []
             for run_id, batch_id, text in frame[columns].itertuples(index=False):
-                started = time.monotonic()
-                response, status, reason = None, "succeeded", None
-                try:
-                    response = call(text, batch_id, attempt)
-                except ClassifierError as error:
-                    status, reason = error.kind, str(error)[:1000]
-                took = int((time.monotonic() - started) * 1000)
-                rows.append((run_id, batch_id, attempt, response, status, reason, took))
+                answer = kept.get(run_id, batch_id, attempt) if kept else None
+                if answer is None:
+                    started = time.monotonic()
+                    answer = {"response": None, "status": "succeeded", "reason": None}
+                    try:
+                        answer["response"] = call(text, batch_id, attempt)
+                    except ClassifierError as error:
+                        answer["status"], answer["reason"] = error.kind, str(error)[:1000]
+                    answer["ms"] = int((time.monotonic() - started) * 1000)
+                    answer = kept.put(run_id, batch_id, attempt, answer) if kept else answer
+                rows.append((run_id, batch_id, attempt, *(answer[k] for k in ("response", "status", "reason", "ms"))))
             yield pd.DataFrame(
                 rows,
                 columns=[*BATCH, "attempt_number", "response_text", "status",
@@ -410,14 +466,15 @@ def assess(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(verdicts, attempts, failed)`` after at most three identical attempts per batch.
 
-    Each round's responses are written before they are read: a call is not repeated because a
-    later stage was.
+    Each round's responses are written before they are read, and each answer is kept as it comes: no
+    call is repeated because a task or a later stage was.
     """
     todo = request_table
+    folder = f"{shared_dir(request_table.sparkSession)}/sirenlens/answers-{uuid.uuid4().hex}"
     verdicts: DataFrame | None = None
     attempts: DataFrame | None = None
     for attempt in range(1, K.MAX_ATTEMPTS + 1):
-        answered = materialize(call_batches(todo, call, attempt), f"responses-{attempt}")
+        answered = materialize(call_batches(todo, call, attempt, folder=folder), f"responses-{attempt}")
         good, results = validate_responses(answered, members)
         good, results = together(
             lambda g=good: materialize(g, "verdicts"), lambda r=results: materialize(r, "results")

@@ -236,10 +236,28 @@ def worklist_pages(alerts: DataFrame, page_size: int) -> DataFrame:
     )
 
 
+#: Alerts of a run up to which a page is found among the first ones, without ranking all.
+EARLY = 10_000
+
+
 def worklist_page(alerts: DataFrame, page: int, page_size: int) -> DataFrame:
-    """One page of every run; a page past the end is the last page."""
-    paged = worklist_pages(alerts, page_size)
-    return paged.where(c("page") == F.least(F.lit(max(page, 1)), c("pages"))).drop("group_size")
+    """One page of every run; a page past the end is the last page.
+
+    For an early page every task keeps no more than the alerts up to its end, per run, before anything
+    is shuffled, and nothing is written. Only a page that the caller asks for beyond ``EARLY`` alerts
+    is taken from the written rank of all.
+    """
+    page = max(page, 1)
+    if page * page_size > EARLY:
+        paged = worklist_pages(alerts, page_size)
+        return paged.where(c("page") == F.least(F.lit(page), c("pages"))).drop("group_size")
+    order = Window.partitionBy("run_id").orderBy(*[o() for o in WORKLIST_ORDER])
+    first = alerts.withColumn("rank", F.row_number().over(order)).where(c("rank") <= page * page_size)
+    size = F.lit(page_size)
+    pages = alerts.groupBy("run_id").agg(F.ceil(F.count("*") / size).cast("long").alias("pages"))
+    placed = first.withColumn("page", F.ceil(c("rank") / size).cast("long")).join(pages, "run_id")
+    # a run of fewer pages has all its alerts among the first
+    return placed.where(c("page") == F.least(F.lit(page), c("pages"))).select(*alerts.columns, "rank", "page", "pages")
 
 
 def worklist_counts(alerts: DataFrame) -> DataFrame:

@@ -103,6 +103,40 @@ HOST = ("regexp_replace(regexp_replace(regexp_extract(runbook_url, '(?is)^https?
         "'^.*@', ''), ':[^:]*$', '')")
 IDS_CORE = ", ".join(f"CASE WHEN {r.lower()} > 0 THEN '{r}' END" for r in K.CORE_RULES)
 
+ROUNDS = len(sample.WEEK_ENDS)
+ANSWERED_KEYS = "(SELECT application, key_field, min(pick) AS pick FROM answered_{k} WHERE NOT lost GROUP BY ALL)"
+
+
+def _round(k: int) -> dict[str, str]:
+    """One round of classifier work: what is asked, its batches and answers, whom these serve later, and
+    what is left for the next round."""
+    of_key = "w.application = l.application AND w.key_field = l.key_field"
+    not_asked = f"LEFT JOIN asked_{k} s ON s.run_id = l.run_id AND s.alert_id = l.alert_id"
+    batch = {
+        "run_id": enc("run_id"), "group_type": enc("group_type"), "group_value": enc("group_value"),
+        "partition_index": enc_int("partition_index"), "alert_ids": "'a' || alert_count || ':' || encoded_ids",
+        "prompt_version": enc(q(K.PROMPT_VERSION)), "model_version": enc(q(sample.MODEL)),
+    }
+    return {
+        f"asked_{k}": f"SELECT * FROM left_{k} QUALIFY dense_rank() OVER (PARTITION BY application, key_field ORDER BY window_end, run_id) = 1",
+        f"placed_{k}": f"""SELECT *, CASE WHEN rank0 < extra * (base + 1) THEN rank0 // (base + 1) ELSE extra + (rank0 - extra * (base + 1)) // base END AS partition_index
+  FROM (SELECT *, n // parts AS base, n % parts AS extra FROM (
+    SELECT *, (n + 199) // 200 AS parts FROM (
+      SELECT *, row_number() OVER (PARTITION BY run_id, group_type, group_value ORDER BY key_field, application, alert_schema) - 1 AS rank0,
+        count(*) OVER (PARTITION BY run_id, group_type, group_value) AS n FROM asked_{k}) a) b) c""",
+        f"batches_{k}": f"""SELECT *, {stable_hash(batch)} AS batch_id
+  FROM (SELECT run_id, group_type, group_value, partition_index, any_value(parts) AS partition_count, count(*) AS alert_count,
+    string_agg('s64:' || alert_id, '' ORDER BY rank0) AS encoded_ids, string_agg(alert_id, ',' ORDER BY rank0) AS alert_ids,
+    string_agg('s64:' || alert_id, '' ORDER BY rank0 DESC) AS reversed_ids
+    FROM placed_{k} GROUP BY run_id, group_type, group_value, partition_index) b""",
+        f"answered_{k}": f"""SELECT p.*, b.batch_id, substr(b.batch_id, 1, 1) IN ('0', '5', 'a') AS lost,
+  (instr('0123456789abcdef', substr(alert_id, 1, 1)) - 1) % 5 AS pick
+  FROM placed_{k} p JOIN batches_{k} b USING (run_id, group_type, group_value, partition_index)""",
+        f"again_{k}": f"SELECT l.*, w.pick FROM left_{k} l JOIN {ANSWERED_KEYS.format(k=k)} w ON {of_key} {not_asked} WHERE s.alert_id IS NULL",
+        f"left_{k + 1}": f"SELECT l.* FROM left_{k} l LEFT JOIN {ANSWERED_KEYS.format(k=k)} w ON {of_key} {not_asked} WHERE s.alert_id IS NULL AND w.application IS NULL",
+    }
+
+
 PARTS: dict[str, str] = {
     "owners": "SELECT * FROM (VALUES "
     + ", ".join(f"({q(a)}, {q(b)}, {q(o)})" for a, b, o in sample.TEAM_OPERATORS)
@@ -233,25 +267,19 @@ PARTS: dict[str, str] = {
   CASE WHEN {blank('alert_rule_url')} THEN 'application' ELSE 'alert_rule_url' END AS group_type,
   CASE WHEN {blank('alert_rule_url')} THEN application ELSE alert_rule_url END AS group_value
   FROM ids WHERE core_rule_ids = ''""",
-    "placed": """SELECT *, CASE WHEN rank0 < extra * (base + 1) THEN rank0 // (base + 1) ELSE extra + (rank0 - extra * (base + 1)) // base END AS partition_index
-  FROM (SELECT *, n // parts AS base, n % parts AS extra FROM (
-    SELECT *, (n + 199) // 200 AS parts FROM (
-      SELECT *, row_number() OVER (PARTITION BY run_id, group_type, group_value ORDER BY key_field, application, alert_schema) - 1 AS rank0,
-        count(*) OVER (PARTITION BY run_id, group_type, group_value) AS n FROM eligible) a) b) c""",
-    "batches": f"""SELECT *, {stable_hash({'run_id': enc('run_id'), 'group_type': enc('group_type'), 'group_value': enc('group_value'), 'partition_index': enc_int('partition_index'), 'alert_ids': "'a' || alert_count || ':' || encoded_ids", 'prompt_version': enc(q(K.PROMPT_VERSION)), 'model_version': enc(q(sample.MODEL))})} AS batch_id
-  FROM (SELECT run_id, group_type, group_value, partition_index, any_value(parts) AS partition_count, count(*) AS alert_count,
-    string_agg('s64:' || alert_id, '' ORDER BY rank0) AS encoded_ids, string_agg(alert_id, ',' ORDER BY rank0) AS alert_ids,
-    string_agg('s64:' || alert_id, '' ORDER BY rank0 DESC) AS reversed_ids
-    FROM placed GROUP BY run_id, group_type, group_value, partition_index) b""",
-    "answered": """SELECT p.*, b.batch_id, substr(b.batch_id, 1, 1) IN ('0', '5', 'a') AS lost,
-  (instr('0123456789abcdef', substr(alert_id, 1, 1)) - 1) % 5 AS pick
-  FROM placed p JOIN batches b USING (run_id, group_type, group_value, partition_index)""",
-    "outcomes": f"""SELECT {ID}, batch_id, alert_id, group_value,
+    # a round asks about each key in the first week that is left of it; see ``_round``
+    "left_0": "SELECT e.*, r.window_end FROM eligible e JOIN runs r ON r.run_id = e.run_id",
+    **{name: text for k in range(ROUNDS) for name, text in _round(k).items()},
+    **{
+        name: " UNION ALL BY NAME ".join(f"SELECT * FROM {name}_{k}" for k in range(ROUNDS))
+        for name in ("placed", "batches", "answered", "again")
+    },
+    "outcomes": f"""SELECT {ID}, batch_id, alert_id, group_value, reused,
   CASE WHEN lost THEN 'unassessed' ELSE ['assessed_good', 'llm_flagged', 'needs_review', 'needs_review', 'assessed_good'][pick + 1] END AS state,
   CASE WHEN NOT lost THEN ['no_violation', 'catalog_violation', 'catalog_violation', 'other', 'no_violation'][pick + 1] END AS assessment,
   CASE WHEN NOT lost THEN ['NONE', 'P3', 'P6', 'OTHER', 'NONE'][pick + 1] END AS principle_id,
   CASE WHEN NOT lost THEN ['high', 'high', 'medium', 'low', 'medium'][pick + 1] END AS confidence
-  FROM answered""",
+  FROM (SELECT *, false AS reused FROM answered UNION ALL BY NAME SELECT *, true AS reused, false AS lost FROM again) x""",
     # ------------------------------------------------------------ facts
     "findings": f"""SELECT i.*, CASE WHEN core_rule_ids <> '' THEN 'rule_flagged' ELSE coalesce(o.state, 'unassessed') END AS quality_state,
   o.principle_id AS llm_principle_id, o.confidence AS llm_confidence,

@@ -31,12 +31,8 @@ NOW_SQL = f"TIMESTAMP '{NOW}'"
 
 
 def _members(spark: SparkSession, sf: str) -> DataFrame:
-    """Batch membership, recomputed from the stored work list."""
-    f = stored(spark, sf).store.alert_findings.where(c("quality_state") != "rule_flagged")
-    ready = f.withColumn("prompt_version", F.lit(K.PROMPT_VERSION)).withColumn(
-        "model_version", F.lit(sample.MODEL)
-    ).withColumnRenamed("representative_doc", "document")
-    return L.batch_members(ready)
+    """Every alert that was asked about, with its batch."""
+    return stored(spark, sf).facts.members
 
 
 @query("l01_verdict_reuse", sql("SELECT o.run_id, o.alert_schema, o.application, o.key_field, (o.application, o.key_field) IN (SELECT (application, key_field) FROM outcomes WHERE run_id IN (SELECT run_id FROM runs WHERE window_end = TIMESTAMP '2024-01-08') AND assessment IS NOT NULL) AS reused FROM outcomes o JOIN runs r ON r.run_id = o.run_id WHERE r.window_end > TIMESTAMP '2024-01-08'", "weekly"))
@@ -59,6 +55,12 @@ def l01(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("l01_reuse_between_weeks", sql(f"SELECT {ID_SQL}, reused, state, principle_id, confidence FROM outcomes", "weekly"))
+def l01b(spark: SparkSession, sf: str) -> DataFrame:
+    """Every week's outcomes of one job: a key is asked about again only where no earlier week got an answer."""
+    return stored(spark, sf).facts.outcomes.select(*ID, "reused", "state", "principle_id", "confidence")
+
+
 @query("l02_alert_groups", sql("SELECT run_id, group_type, group_value, count(*) AS alerts FROM eligible GROUP BY ALL", "weekly"))
 def l02(spark: SparkSession, sf: str) -> DataFrame:
     f = stored(spark, sf).store.alert_findings.where(c("quality_state") != "rule_flagged")
@@ -93,31 +95,31 @@ def l04(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("l05_shared_fields", sql("""SELECT run_id, batch_id, key FROM (SELECT o.run_id, o.batch_id, f.key, count(f.v) AS present, count(*) AS members, min(f.v) AS lo, max(f.v) AS hi
-FROM outcomes o JOIN ids i USING (run_id, alert_schema, application, key_field) CROSS JOIN LATERAL (VALUES ('application', i.application), ('message', i.message), ('severity', i.severity), ('operator', i.operator), ('key_field', i.key_field),
+FROM answered o JOIN ids i USING (run_id, alert_schema, application, key_field) CROSS JOIN LATERAL (VALUES ('application', i.application), ('message', i.message), ('severity', i.severity), ('operator', i.operator), ('key_field', i.key_field),
  ('time_created', i.time_created), ('node_name', i.node_name), ('alert_rule_url', i.alert_rule_url), ('provider', i.provider), ('status', i.status), ('impact', i.impact), ('runbook_url', i.runbook_url),
  ('object', CASE WHEN i.alert_schema = 'v1' THEN i.component END), ('component', CASE WHEN i.alert_schema = 'v2' THEN i.component END), ('@timestamp', strftime(i.representative_at, '%Y-%m-%dT%H:%M:%S.%g'))) f(key, v)
 GROUP BY ALL) x WHERE present = members AND lo = hi""", "weekly"))
 def l05(spark: SparkSession, sf: str) -> DataFrame:
     table = stored(spark, sf).facts.batches
-    members = L.with_batch_id(_members(spark, sf), table)
+    members = _members(spark, sf)
     return L.shared_fields(L.document_entries(members), table).select("run_id", "batch_id", "key")
 
 
-@query("l06_lossless_check", sql("SELECT run_id, batch_id, alert_id, CAST(0 AS BIGINT) AS violations FROM outcomes", "weekly"))
+@query("l06_lossless_check", sql("SELECT run_id, batch_id, alert_id, CAST(0 AS BIGINT) AS violations FROM answered", "weekly"))
 def l06(spark: SparkSession, sf: str) -> DataFrame:
     table = stored(spark, sf).facts.batches
-    members = L.with_batch_id(_members(spark, sf), table)
+    members = _members(spark, sf)
     bad = L.lossless_violations(members, table).groupBy("run_id", "batch_id", "alert_id").agg(F.count("*").alias("violations"))
     return members.select("run_id", "batch_id", "alert_id").join(bad, ["run_id", "batch_id", "alert_id"], "left").fillna(0, subset=["violations"])
 
 
 @query("l06_spoilt_header", sql("""SELECT run_id, batch_id, alert_id, CAST(CASE WHEN alike AND substr(batch_id, 2, 1) IN ('0', '1', '2', '3', '4', '5') THEN 2 WHEN alike AND substr(batch_id, 2, 1) IN ('6', '7', '8', '9') THEN 1 ELSE 0 END AS BIGINT) AS violations
 FROM (SELECT o.run_id, o.batch_id, o.alert_id, count(i.provider) OVER w = count(*) OVER w AND min(i.provider) OVER w = max(i.provider) OVER w AS alike
-FROM outcomes o JOIN ids i USING (run_id, alert_schema, application, key_field) WINDOW w AS (PARTITION BY o.run_id, o.batch_id)) x""", "weekly"))
+FROM answered o JOIN ids i USING (run_id, alert_schema, application, key_field) WINDOW w AS (PARTITION BY o.run_id, o.batch_id)) x""", "weekly"))
 def l06b(spark: SparkSession, sf: str) -> DataFrame:
     """Headers in which a shared provider was changed, or lost, in a part of the batches."""
     table = stored(spark, sf).facts.batches
-    members = L.with_batch_id(_members(spark, sf), table)
+    members = _members(spark, sf)
     entries = L.document_entries(members)
     shared = L.shared_fields(entries, table)
     digit, provider = F.substring("batch_id", 2, 1), c("key") == "provider"
@@ -160,7 +162,7 @@ def _broken_responses(spark: SparkSession, sf: str) -> DataFrame:
   WHEN d IN ('4', '5') THEN 'response contains a verdict for an unknown alert' WHEN d IN ('6', '7') THEN 'a verdict has unexpected or missing fields' WHEN d IN ('8', '9') THEN 'response batch_id does not match the request' END AS rejected_because
   FROM (SELECT *, substr(batch_id, 2, 1) AS d FROM batches) b""", "weekly"))
 def l08(spark: SparkSession, sf: str) -> DataFrame:
-    members = L.with_batch_id(_members(spark, sf), stored(spark, sf).facts.batches)
+    members = _members(spark, sf)
     _, results = L.validate_responses(_broken_responses(spark, sf), members)
     return results
 
@@ -174,7 +176,7 @@ def l09(spark: SparkSession, sf: str) -> DataFrame:
     return stored(spark, sf).store.alert_findings.select(*ID, L.not_applicable(cited).alias("refused"))
 
 
-@query("l10_verdict_state", sql(f"SELECT {ID_SQL}, state, principle_id, confidence FROM outcomes WHERE assessment IS NOT NULL", "weekly"))
+@query("l10_verdict_state", sql(f"SELECT {ID_SQL}, state, principle_id, confidence FROM outcomes WHERE assessment IS NOT NULL AND NOT reused", "weekly"))
 def l10(spark: SparkSession, sf: str) -> DataFrame:
     v = stored(spark, sf).facts.new_verdicts
     return v.select(

@@ -377,7 +377,7 @@ def p15(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).select("event_id", F.to_json(F.struct("event_type", "user_id", "event_id")).alias("text"))
 
 
-@query("p16_deterministic_ids", sql("SELECT run_id, alert_id, batch_id FROM outcomes", "weekly"))
+@query("p16_deterministic_ids", sql("SELECT run_id, alert_id, batch_id FROM answered", "weekly"))
 def p16(spark: SparkSession, sf: str) -> DataFrame:
     t = stored(spark, sf).facts
     return t.batches.select("run_id", F.explode("alert_ids").alias("alert_id"), "batch_id")

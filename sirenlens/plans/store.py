@@ -139,7 +139,7 @@ def stored(spark: SparkSession, sf_dir: str) -> Tables:
             log=schedule_log(runs, findings),
         )
         kept = Facts(
-            runs, metrics, counts, findings, panels, f.batches, attempts, verdicts, f.outcomes
+            runs, metrics, counts, findings, panels, f.batches, attempts, verdicts, f.outcomes, f.members
         )
         store = Store(runs, metrics, counts, findings, publications, decisions, log)
         _stores[key] = Tables(store, kept)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -288,13 +288,20 @@ class Facts:
     attempts: DataFrame | None = None
     new_verdicts: DataFrame | None = None
     outcomes: DataFrame | None = None
+    members: DataFrame | None = None
 
 
 def classify(
     a: Analysis, call: L.Call, verdicts: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """``(outcomes, batches, attempts, new verdicts)`` for the eligible identities."""
-    eligible = materialize(eligible_alerts(a), "eligible")
+) -> tuple[DataFrame, ...]:
+    """``(outcomes, batches, attempts, new verdicts, members)`` for the eligible identities.
+
+    A verdict holds for its key in every later week of the job as well: a round asks about each key in
+    the first week that is left of it, its answer goes to all later ones, and only what stays unanswered
+    comes back in its next week. There are at most as many rounds as weeks.
+    """
+    ends = a.runs.select("run_id", "window_end")
+    eligible = materialize(eligible_alerts(a).join(ends, "run_id"), "eligible")
     if verdicts is None:
         none = F.lit("")
         stored = eligible.limit(0).select(
@@ -305,22 +312,31 @@ def classify(
     else:
         stored = verdicts
     reused, remaining = L.reuse_verdicts(eligible, stored)
-    placed = materialize(L.batch_members(remaining), "members")
-    table = materialize(L.batches(placed), "batches")
-    members = L.with_batch_id(placed, table)
-    request_table = materialize(L.requests(members, table), "requests")
-    answers, attempts, failed = L.assess(request_table, members, call)
-    outcomes = materialize(L.outcomes_of(answers, reused, failed, members), "outcomes")
-    fresh = answers.join(
-        members.select(*L.BATCH, "alert_id", "document", "doc_hash", "prompt_version", "model_version"),
-        [*L.BATCH, "alert_id"],
-    ).select(
-        "application", "key_field", "prompt_version", "model_version", "alert_schema",
-        "assessment", "principle_id", "confidence", "justification",
-        c("document").alias("representative_doc"), "doc_hash",
-        F.lit(K.RULESET_VERSION).alias("ruleset_version"), c("run_id").alias("first_run_id"),
-    )
-    return outcomes, request_table, attempts, fresh
+    remaining = materialize(remaining, "remaining")
+    rounds: list[tuple[DataFrame, ...]] = []
+    while not rounds or not remaining.isEmpty():
+        placed = materialize(L.batch_members(L.first_weeks(remaining)), "members")
+        table = materialize(L.batches(placed), "batches")
+        members = materialize(L.with_batch_id(placed, table), "batch-members")
+        request_table = materialize(L.requests(members, table), "requests")
+        answers, attempts, failed = L.assess(request_table, members, call)
+        answered = materialize(L.key_verdicts(answers, members), "key-verdicts")
+        left = remaining.join(placed.select(*ID), ID, "left_anti")
+        again = left.join(answered, L.VERDICT_KEY)
+        again = again if rounds else again.unionByName(reused, allowMissingColumns=True)
+        outcomes = materialize(L.outcomes_of(answers, again, failed, members), "outcomes")
+        fresh = answers.join(
+            members.select(*L.BATCH, "alert_id", "document", "doc_hash", "prompt_version", "model_version"),
+            [*L.BATCH, "alert_id"],
+        ).select(
+            "application", "key_field", "prompt_version", "model_version", "alert_schema",
+            "assessment", "principle_id", "confidence", "justification",
+            c("document").alias("representative_doc"), "doc_hash",
+            F.lit(K.RULESET_VERSION).alias("ruleset_version"), c("run_id").alias("first_run_id"),
+        )
+        rounds.append((outcomes, request_table, attempts, fresh, members))
+        remaining = materialize(left.join(answered, L.VERDICT_KEY, "left_anti"), "remaining")
+    return tuple(reduce(DataFrame.unionByName, parts) for parts in zip(*rounds, strict=True))
 
 
 def compute_facts(
@@ -347,11 +363,11 @@ def facts_of(
     disabled_reason: str = "LLM assessment did not run",
 ) -> Facts:
     """The fact tables of an analysis, of a batch or of a stream."""
-    batches = attempts = fresh = None
+    batches = attempts = fresh = members = None
     if call is None:
         outcomes = L.mark_unassessed(a.identities.where(c("llm_eligible")), disabled_reason)
     else:
-        outcomes, batches, attempts, fresh = classify(a, call, verdicts)
+        outcomes, batches, attempts, fresh, members = classify(a, call, verdicts)
     return Facts(
         runs=run_rows(a, call is not None),
         daily_metrics=daily_metric_rows(a, outcomes),
@@ -362,4 +378,5 @@ def facts_of(
         attempts=attempts,
         new_verdicts=fresh,
         outcomes=outcomes,
+        members=members,
     )
