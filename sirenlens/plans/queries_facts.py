@@ -14,7 +14,7 @@ from sirenlens.operators import window as Wn
 from sirenlens.plans import sample
 from sirenlens.plans.base import day, n, query, us
 from sirenlens.plans.oracle import ID as ID_SQL
-from sirenlens.plans.oracle import sql
+from sirenlens.plans.oracle import iso, norm_field, norm_message, sql
 from sirenlens.plans.store import stored, weekly_analysis, window_analysis
 from sirenlens.plans.team_week import states_of
 from sirenlens.sources.events import alerts_from_events
@@ -49,16 +49,24 @@ def a03(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: The evidence of a row for the rule that it matches, as JSON text.
+_SAID = f"""CASE WHEN rule_id IN ('R1', 'R2') THEN '{{"field":"message","normalized":"' || {norm_message('message')} || '"}}'
+WHEN rule_id = 'R3' THEN '{{"violations":[{{"field":"' || CASE alert_schema WHEN 'v2' THEN 'component' ELSE 'object' END || '","reason":"placeholder","normalized":"' || {norm_field('component')} || '"}}]}}'
+WHEN rule_id = 'R4' THEN '{{"provider":"' || provider || '","alert_rule_url":null}}'
+WHEN rule_id = 'R7' THEN '{{"reason":"' || r7_reason || '","time_created":' || CASE WHEN time_created IS NULL THEN 'null' ELSE '"' || time_created || '"' END || CASE WHEN r7_reason IN ('future', 'older_than_24h') THEN ',"timestamp":"' || {iso('ts')} || '"' ELSE '' END || '}}'
+WHEN rule_id = 'R8' THEN '{{"reason":"' || r8_reason || '"}}'
+WHEN rule_id = 'R9' THEN '{{"severity":"' || severity || '","blocks_completion":' || CASE severity WHEN 'critical' THEN 'true' ELSE 'false' END || ',"reason":"' || r9_reason || '"}}'
+ELSE '{{"field":"impact","normalized":"' || {norm_message('impact')} || '"}}' END"""
 _FOUND = " UNION ALL ".join(
-    f"SELECT {ID_SQL}, '{r}' AS rule_id, ts FROM judged WHERE {r.lower()} > 0"
+    f"SELECT *, '{r}' AS rule_id FROM judged WHERE {r.lower()} > 0"
     for r in ("R1", "R2", "R3", "R4", "R7", "R8", "R9", "R10")
 )
 
 
-@query("a04_rule_evidence", sql(f"SELECT {ID_SQL}, rule_id, count(*) AS matched_rows, epoch_us(min(ts)) AS first_us, true AS has_evidence FROM ({_FOUND}) x GROUP BY ALL", "wide"))
+@query("a04_rule_evidence", sql(f"SELECT {ID_SQL}, rule_id, count(*) AS matched_rows, epoch_us(min(ts)) AS first_us, first(evidence ORDER BY ts, seq) AS evidence FROM (SELECT *, {_SAID} AS evidence FROM ({_FOUND}) y) x GROUP BY ALL", "wide"))
 def a04(spark: SparkSession, sf: str) -> DataFrame:
     found = window_analysis(spark, sf, FAN).evidence
-    return found.select(*ID, "rule_id", "matched_rows", us("first_ts", "first_us"), c("evidence").isNotNull().alias("has_evidence"))
+    return found.select(*ID, "rule_id", "matched_rows", us("first_ts", "first_us"), "evidence")
 
 
 @query("a04_evidence_document", sql(f"SELECT {ID_SQL}, len(string_split(all_ids, ',')) - CAST(all_ids = '' AS INT) AS at_least FROM ranked", "weekly"))
@@ -235,6 +243,28 @@ def e09(spark: SparkSession, sf: str) -> DataFrame:
     return window_analysis(spark, sf).identity_days.where(c("R6") > 0).select(*ID, day(), c("R6").alias("r6_rows"))
 
 
+@query("e09_pattern_evidence", sql(f"""SELECT {ID_SQL}, fire_pattern AS pattern, CAST(row_count AS BIGINT) AS rows, CAST(row_count AS BIGINT) AS matched_rows, CAST(clear_count AS BIGINT) AS clear_count, CAST(max_clear_cycles_24h AS BIGINT) AS max_clear_cycles_24h,
+CAST(max_episode_firing_rows AS BIGINT) AS max_episode_firing_rows, round_even(CAST(open_span_us AS DOUBLE) / 3600000000, 2) AS open_hours, round_even(CAST(span_us AS DOUBLE) / 3600000000, 2) AS span_hours, round_even(events_per_24h, 2) AS events_per_24h FROM ids WHERE fire_pattern IS NOT NULL""", "weekly"))
+def e09b(spark: SparkSession, sf: str) -> DataFrame:
+    """The eight fields of the stored R6 evidence."""
+    said = (
+        "pattern string, rows long, clear_count long, max_clear_cycles_24h long, max_episode_firing_rows long, "
+        "open_hours double, span_hours double, events_per_24h double"
+    )
+    entry = f"array<struct<rule_id: string, matched_rows: long, sample_evidence: struct<{said.replace(' long', ': long').replace(' string', ': string').replace(' double', ': double')}>>>"
+    listed = stored(spark, sf).store.alert_findings.select(*ID, F.inline(F.from_json("findings_evidence", entry)))
+    return listed.where("rule_id = 'R6'").select(*ID, "sample_evidence.*", "matched_rows")
+
+
+@query("e09_suppression_evidence", sql("""SELECT run_id, alert_schema, application, key_field, CAST(r5 AS BIGINT) AS matched_rows,
+CASE WHEN team_id = 'team-b' THEN 'B1' WHEN alert_schema = 'v1' THEN 'A1,A2' ELSE 'A3' END AS panels, 'excluded by every supplied panel for this schema' AS reason FROM ids WHERE r5 > 0""", "weekly"))
+def e09c(spark: SparkSession, sf: str) -> DataFrame:
+    entry = "array<struct<rule_id: string, matched_rows: long, sample_evidence: struct<panels: array<string>, reason: string>>>"
+    listed = stored(spark, sf).store.alert_findings.select(*ID, F.inline(F.from_json("findings_evidence", entry)))
+    kept = listed.where("rule_id = 'R5'")
+    return kept.select(*ID, "matched_rows", F.array_join("sample_evidence.panels", ",").alias("panels"), "sample_evidence.reason")
+
+
 PATTERN_SQL = "SELECT run_id, alert_schema, fire_pattern, count(*) AS alerts, CAST(sum(row_count) AS BIGINT) AS events FROM palerts WHERE fire_pattern IS NOT NULL GROUP BY ALL"
 
 
