@@ -131,14 +131,15 @@ class Log:
         """
         before = self.manifest(below=version)
         runs = [*[r for r in before if r[0] != run], (run, 0)]
-        level = 0
+        level, made = 0, {run}
         while len(full := [r for r, n in runs if n == level]) >= FAN:
             joined = f"level{level + 1}-{version:09d}"
             self.write(joined, {t: self.read(t, full) for t in (*MERGE, "shown")})
             runs = [(r, n) for r, n in runs if n != level] + [(joined, level + 1)]
-            level += 1
+            level, made = level + 1, made | {joined}
         self.commit(version, runs)
-        gone = {r for r, _ in self.manifest(below=version - 1)} - {r for r, _ in [*before, *runs]}
+        # a replay of this batch needs the manifest before it, and makes what this step has made anew
+        gone = ({r for r, _ in self.manifest(below=version - 1)} | made) - {r for r, _ in [*before, *runs]}
         for name in gone:
             system, path = fs.FileSystem.from_uri(f"{self.folder}/runs/{name}")
             if system.get_file_info(path).type != fs.FileType.NotFound:
