@@ -40,7 +40,7 @@ BLOCK = 4096
 GROUP = 256
 #: Bytes of words after which a writing task begins another file, at the end of a document.
 FILE = 64 << 20
-#: Pieces of text whose ids a Python worker remembers (about 100 MB); then it starts anew.
+#: Pieces of text whose ids a Python worker remembers (about 100 MB); then it forgets the rare ones.
 REMEMBERED = 500_000
 #: Pieces that the library gets as one text.
 LINES = 1000
@@ -215,23 +215,41 @@ class Encoder:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def forget(self) -> None:
+        """Nothing is known but the end id, which has slot 0."""
         self.known: dict[bytes, int] = {}
-        self.first = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        self.held = np.zeros(0, np.uint32)
+        self.first = np.zeros(1, np.int64)
+        self.count = np.ones(1, np.int64)
+        self.uses = np.zeros(1, np.int32)
+        self.held = np.array([self.end], np.uint32)
+
+    def forget_rare(self) -> None:
+        """Keep the pieces that several batches had; start anew where these are too many."""
+        kept = self.uses > 1
+        pieces = [p for p, slot in self.known.items() if kept[slot]]
+        if 2 * len(pieces) > REMEMBERED:
+            return self.forget()
+        slots = np.fromiter((self.known[p] for p in pieces), np.int64, len(pieces))
+        counts, first = self.count[slots], self.first[slots]
+        before = np.cumsum(counts) - counts
+        ids = self.held[np.arange(int(counts.sum())) + np.repeat(first - before, counts)]
+        self.forget()
+        self._keep(pieces, counts, ids)
 
     def _keep(self, pieces: list[bytes], counts: np.ndarray, ids: np.ndarray) -> None:
-        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
+        slots = len(self.first)
+        self.known.update(zip(pieces, range(slots, slots + len(pieces)), strict=True))
         self.first = np.concatenate([self.first, len(self.held) + np.cumsum(counts) - counts])
         self.count = np.concatenate([self.count, counts])
+        self.uses = np.concatenate([self.uses, np.zeros(len(pieces), np.int32)])
         self.held = np.concatenate([self.held, ids.astype(np.uint32)])
 
     def learn(self, missing: list[bytes]) -> None:
-        lines, alone = ([], []), ([], [])
+        lines: tuple[list[bytes], list[str]] = ([], [])
+        alone: tuple[list[bytes], list[str]] = ([], [])
         for piece in missing:
             text = piece.decode()
-            words = text.split() if self.line_end is not None else ()
-            kept = lines if len(words) == 1 and (text == words[0] or text == " " + words[0]) else alone
+            word = text[1:] if text[:1] == " " else text
+            kept = lines if self.line_end is not None and word.split() == [word] else alone
             kept[0].append(piece)
             kept[1].append(text)
         for k in range(0, len(lines[0]), LINES):
@@ -249,9 +267,8 @@ class Encoder:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows one after another, and how many each row has."""
         if len(self.known) > REMEMBERED:
-            self.forget()
+            self.forget_rare()
         data, starts = raw(column)
-        rows = len(starts) - 1
         bounds = _bounds(data, starts) if self.cuts else np.unique(starts)
         pieces = pa.Array.from_buffers(
             pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
@@ -260,16 +277,18 @@ class Encoder:
         missing = [p for p in distinct if p not in self.known]
         if missing:
             self.learn(missing)
-        slot = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
-        slot = slot[pieces.indices.to_numpy()] if len(bounds) > 1 else np.empty(0, np.int64)
+        slots = np.fromiter(map(self.known.__getitem__, distinct), np.int32, len(distinct))
+        self.uses[slots] += 1
+        inner = slots[pieces.indices.to_numpy()] if len(bounds) > 1 else np.empty(0, np.int32)
+        row_ends = np.searchsorted(bounds, starts)
+        slot = np.insert(inner, row_ends[1:], 0)  # every row ends in the end id
         count = self.count[slot]
         before = np.zeros(len(slot) + 1, np.int64)
         np.cumsum(count, out=before[1:])
-        ids = self.held[np.arange(before[-1]) + np.repeat(self.first[slot] - before[:-1], count)]
-        of_row = np.diff(before[np.searchsorted(bounds, starts)])
-        out = np.full(len(ids) + rows, self.end, np.uint32)
-        out[np.arange(len(ids)) + np.repeat(np.arange(rows), of_row)] = ids
-        return out, of_row + 1
+        at = np.arange(before[-1], dtype=np.int32 if before[-1] < 1 << 31 else np.int64)
+        at += np.repeat((self.first[slot] - before[:-1]).astype(at.dtype), count)
+        ends = row_ends + np.arange(len(row_ends))  # pieces and ends before each row
+        return self.held[at], np.diff(before[ends])
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
