@@ -27,8 +27,10 @@ _TOKEN = re.compile(
     r"|<[!?][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
+_END = re.compile(r"</([a-zA-Z][a-zA-Z0-9-]*)")
 _MARKS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
+_HEADING = re.compile(r"h[1-6]\Z")
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
     "small span strike strong sub sup time tt u var wbr br".split()
@@ -44,29 +46,63 @@ _NOT_TEXT = frozenset(
 )
 
 
-def _is_noise(tag: str, attributes: str) -> bool:
-    if not attributes or tag in ("html", "body", "article", "main"):
+#: Names that mean the same as a part of a longer class name ("comment-body", "left-sidebar").
+_STRONG = _NOT_TEXT - frozenset("side search notice notices alert popup modal overlay login widget widgets related".split())
+#: What such a part does not mean after one of these ("with-sidebar", "no-comments") or before one ("comments-open").
+_ABOUT = frozenset("no not non with without has have hide hidden show single layout is".split())
+_STATE = frozenset("open opened closed close on off enabled disabled count free".split())
+_HEADERS = frozenset("header site-header page-header main-header global-header top-header".split())
+_MAIN = frozenset(("article", "main"))
+
+
+def _is_noise(tag: str, attributes: str, marked: bool) -> bool:
+    """Whether an element is no article text by its class, id or role.
+
+    An id or a role counts as a whole, so "side-effects" names a section; a class counts as a whole or
+    by its first or last part. An element that is an article itself goes by whole classes and first
+    parts, a heading or a paragraph by whole classes only.
+    """
+    if not attributes or tag in ("html", "body"):
         return False
     if _HIDDEN.search(attributes):
-        return True
-    for found in _MARKS.findall(attributes):
-        names = re.split(r"[\s_-]+", (found[0] or found[1] or found[2]).lower())
-        if not _NOT_TEXT.isdisjoint(names) or "header" in names and tag not in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        return tag not in _MAIN
+    for found in _MARKS.finditer(attributes):
+        text = (found[1] or found[2] or found[3] or "").lower()
+        names = text.split()
+        if not _NOT_TEXT.isdisjoint(n.replace("_", "-") for n in names):
+            return tag not in _MAIN or found[0][:2].lower() != "id"
+        if not marked and tag not in _MAIN and not _HEADERS.isdisjoint(names) and not _HEADING.match(tag):
             return True
+        if found[0][:5].lower() != "class" or tag == "p" or _HEADING.match(tag):
+            continue
+        for name in names:
+            parts = re.split(r"[_-]+", name)
+            if len(parts) < 2 or parts[0] in _ABOUT or parts[-1] in _STATE:
+                continue
+            if parts[0] in _STRONG or tag not in _MAIN and parts[-1] in _STRONG:
+                return True
     return False
 
 
 def page_lines(source: str) -> tuple[list[str], list[str]]:
     """The lines inside the page's article, and those outside it that are not left out by kind.
 
-    Character references are decoded, white space within a line becomes one space. Tags that were
-    never closed end with the article or the page.
+    Character references are decoded, white space within a line becomes one space. An element that is
+    left out ends with its own tag or with the article around it, whatever articles (comments, teasers)
+    it holds; where it is never closed it ends at the page's first article.
     """
     inside: list[str] = []
     outside: list[str] = []
     parts: list[str] = []
     skip, depth = "", 0  # the element that is left out, and how often its kind is open in it
+    inner = 0  # articles open inside it
     marked = 0
+    last_end: dict[str, int] = {}
+
+    def never_closed(tag: str, at: int) -> bool:
+        if not last_end:
+            last_end.update((m[1].lower(), m.start()) for m in _END.finditer(source))
+        return last_end.get(tag, -1) < at
 
     def flush() -> None:
         if parts:
@@ -91,7 +127,16 @@ def page_lines(source: str) -> tuple[list[str], list[str]]:
                 skip = ""
                 if closing:
                     continue
-            elif tag in ("article", "main", "body") or skip == "p" and tag not in _INLINE and not closing:
+            elif tag in _MAIN:
+                if closing:
+                    if inner or not marked:
+                        inner = max(0, inner - 1)
+                        continue
+                elif inside or marked or not never_closed(skip, at):
+                    inner += 1
+                    continue
+                skip = ""
+            elif tag == "body" or skip == "p" and tag not in _INLINE and not closing:
                 skip = ""  # it was never closed
             else:
                 continue
@@ -100,13 +145,15 @@ def page_lines(source: str) -> tuple[list[str], list[str]]:
             continue
         if tag not in _INLINE:
             flush()
-        if tag in ("article", "main"):
+        left_out = not closing and tag not in _VOID and (
+            tag in _SKIPPED or tag == "header" and not marked or _is_noise(tag, token[4], marked > 0)
+        )
+        if left_out:
+            if tag in _INLINE:
+                parts.append(" ")
+            skip, depth, inner = tag, 1, 0
+        elif tag in _MAIN:
             marked = max(0, marked + (-1 if closing else 1))
-        elif not closing and tag not in _VOID:
-            if tag in _SKIPPED or tag == "header" and not marked or _is_noise(tag, token[4]):
-                if tag in _INLINE:
-                    parts.append(" ")
-                skip, depth = tag, 1
     if not skip:
         rest = source[at:]
         cut = re.search(r"<[a-zA-Z/!][^<]*\Z", rest)  # a tag that the page's end cuts off
