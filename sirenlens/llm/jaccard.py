@@ -317,24 +317,46 @@ def _pairs(x: DataFrame, y: DataFrame, different: Column, percent: int) -> DataF
     return near.select(F.greatest(one, two).alias("a"), F.least(one, two).alias("b")).distinct()
 
 
+def prefix_arrays(prefix: DataFrame) -> DataFrame:
+    """``set_id, n, grams``: the prefix n-grams of each set that others have."""
+    return prefix.groupBy("set_id", "n").agg(F.collect_list("gram").alias("grams"))
+
+
+def _can_reach(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs(a, b)`` that can still link, by all the prefix n-grams that they share.
+
+    Of two sets, the one whose prefix ends first in the global order has every other common n-gram
+    behind its prefix: the overlap is at most the prefixes' common n-grams and the rest of that set.
+    """
+    one, two = held.toDF("a", "n", "ag"), held.toDF("b", "m", "bg")
+    both = pairs.join(one, "a").join(two, "b")
+    behind = F.greatest(*[F.ceil(F.lit(percent) * F.col(v) / 100) - 1 for v in ("n", "m")])
+    most = F.size(F.array_intersect("ag", "bg")) + behind
+    return both.where(_reaches(most, F.col("n"), F.col("m"), percent)).select("a", "b")
+
+
 def linked_sets(segments: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links between distinct sets that give the components of all links.
 
     Holders of an n-gram meet its hub, then a second hub outside the first one's component, and
-    then all pairs that are still of different components and can reach the threshold.
+    then all pairs that are still of different components. Of each step's pairs only those are counted
+    that can reach the threshold by all the n-grams that their prefixes share.
     """
     prefix = materialize(prefixes(segments, percent).withColumn("part", F.col("set_id")), "ngram-prefixes")
+    held = materialize(prefix_arrays(prefix), "ngram-held")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return materialize(overlapping(_can_reach(pairs, held, percent), segments, percent), "ngram-links")
+
     apart = F.col("x.part") != F.col("y.part")
     hub = _hubs(prefix)
-    links = materialize(overlapping(_pairs(prefix, hub, apart, percent), segments, percent), "ngram-links")
+    links = linked(_pairs(prefix, hub, apart, percent))
     open_ = _with_parts(prefix.drop("part"), links)
     first = open_.join(hub.select("gram", "set_id"), ["gram", "set_id"]).select("gram", F.col("part").alias("of_hub"))
     second = _hubs(open_.join(first, "gram").where("part <> of_hub"))
-    more = materialize(overlapping(_pairs(open_, second, apart, percent), segments, percent), "ngram-links")
-    links = links.unionByName(more)
+    links = links.unionByName(linked(_pairs(open_, second, apart, percent)))
     open_ = _with_parts(prefix.drop("part"), links)
-    rest = _pairs(open_, open_, F.col("x.part") > F.col("y.part"), percent)
-    return links.unionByName(materialize(overlapping(rest, segments, percent), "ngram-links"))
+    return links.unionByName(linked(_pairs(open_, open_, F.col("x.part") > F.col("y.part"), percent)))
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
