@@ -14,6 +14,8 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from sirenlens.llm import chat, decontaminate, html, jaccard, langid, lines, mixing, tokens, vectors, warc
 from sirenlens.llm.common import components, prepared
 from sirenlens.llm.words import words
@@ -149,6 +151,27 @@ def test_decontamination_finds_every_similar_window(sp):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_by_several_blocks_equals_one(sp, monkeypatch):
+    rng = random.Random(9)
+    items = [(k, prose(rng, 12 + k % 9).replace("\n", " ")) for k in range(40)]
+    items += items[:5] + [(None, prose(rng, 25)), (3, None), (None, None)]
+    texts = [None, "", "w " * 200_000] + [prose(rng, 30)] * 3
+    texts += [f"{prose(rng, 20)} {t} {prose(rng, 20)}" for _, t in items[:40:3]] * 2 + [f"{items[1][1]} {items[-3][1]}"]
+    docs = documents(sp, texts).withColumn("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("doc_id")))
+    docs = docs.withColumn("_hit_id", F.lit("clash")).withColumn("item_id", F.lit(1)).withColumn("h", F.lit("h"))
+    bench = sp.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
+    found = sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()), key=repr)
+    kept = sorted(map(tuple, decontaminate.without_items(docs, bench).collect()), key=repr)
+    assert len(found) == 30 and {r[1] for r in found} >= {None, 0, 1}
+    assert len(kept) == 6
+    monkeypatch.setattr(decontaminate, "ITEMS", 7)
+    index, blocks = decontaminate.written_index(bench)
+    assert blocks == 6 and index.select("block").distinct().count() > 1
+    assert sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()), key=repr) == found
+    assert sorted(map(tuple, decontaminate.without_items(docs, bench).collect()), key=repr) == kept
+    assert decontaminate.without_items(docs, bench.limit(0)).count() == len(texts)
+
+
 def test_multi_index_misses_no_fingerprint_within_the_radius():
     rng = np.random.default_rng(2)
     index = decontaminate.Index([1, 2], [prose(random.Random(k), 25).replace("\n", " ") for k in (1, 2)])
