@@ -180,20 +180,37 @@ def _plain(e: str, kind: str) -> str:
     return f"coalesce(regexp_replace(regexp_replace(CAST(CAST({e} AS {kind}) AS VARCHAR), '0+$', ''), '[.]$', ''), '')"
 
 
-@query("s11_csv_daily_metrics", sql(f"SELECT run_id, alert_schema AS schema, CAST(snapshot_date AS VARCHAR) AS snapshot_date, strftime(bucket_start, '%Y-%m-%dT%H:%M:%S.%gZ') AS bucket_start, {_plain('covered_hours', 'DECIMAL(6,3)')} AS covered_hours, CAST(alerts AS VARCHAR) AS alerts, {_plain('alerts_per_hour', 'DECIMAL(18,6)')} AS alerts_per_hour, {_plain('node_name_ratio', 'DECIMAL(18,6)')} AS node_name_ratio, coalesce(CAST(unseen AS VARCHAR), '') AS unseen FROM metrics", "weekly"))
+def _instant(e: str) -> str:
+    return f"coalesce(strftime({e}, '%Y-%m-%dT%H:%M:%S.%gZ'), '')"
+
+
+def _cell(e: str) -> str:
+    text = f"CAST({e} AS VARCHAR)"
+    return f"coalesce(CASE WHEN regexp_matches({text}, '^[-=+@]') THEN '''' || {text} ELSE {text} END, '')"
+
+
+def _csv_twin(headers: tuple[tuple[str, str], ...], special: dict[str, str]) -> str:
+    return ", ".join(f"{special.get(col) or _cell(col)} AS {header}" for header, col in headers)
+
+
+_DAILY_CELLS = {name: _instant(name) for name in ("bucket_start", "bucket_end")}
+_DAILY_CELLS |= {name: _plain(name, kind) for name, kind in W.RATE_TYPES.items()}
+
+
+@query("s11_csv_daily_metrics", sql(f"SELECT {_csv_twin(W.DAILY_HEADERS, _DAILY_CELLS)} FROM metrics", "weekly"))
 def s11b(spark: SparkSession, sf: str) -> DataFrame:
-    return W.daily_metrics_csv(stored(spark, sf).store.daily_metrics).select(
-        "run_id", "schema", "snapshot_date", "bucket_start", "covered_hours", "alerts",
-        "alerts_per_hour", "node_name_ratio", "unseen",
-    )
+    return W.daily_metrics_csv(stored(spark, sf).store.daily_metrics)
 
 
-@query("s11_csv_worklist", sql("SELECT run_id, alert_schema AS schema, application, key_field, quality_state, core_rule_ids, readiness_rule_ids, coalesce(llm_principle_id, '') AS llm_principle_id, CAST(CAST(row_count AS BIGINT) AS VARCHAR) AS row_count, coalesce(CAST(unseen AS VARCHAR), '') AS unseen, coalesce(fire_pattern, '') AS fire_pattern FROM findings", "weekly"))
+_WORKLIST_CELLS = {name: _instant(name) for name in ("first_seen", "last_seen")}
+_WORKLIST_CELLS["open_since"] = _instant("make_timestamp(open_us)")
+#: The SQL twin has no text of the classifier and no environment.
+_COMPARED = tuple(h for h in W.WORKLIST_HEADERS if h[0] not in ("llm_justification", "environment"))
+
+
+@query("s11_csv_worklist", sql(f"SELECT {_csv_twin(_COMPARED, _WORKLIST_CELLS)} FROM findings", "weekly"))
 def s11c(spark: SparkSession, sf: str) -> DataFrame:
-    return W.worklist_csv(stored(spark, sf).store.alert_findings).select(
-        "run_id", "schema", "application", "key_field", "quality_state", "core_rule_ids",
-        "readiness_rule_ids", "llm_principle_id", "row_count", "unseen", "fire_pattern",
-    )
+    return W.worklist_csv(stored(spark, sf).store.alert_findings).select(*[header for header, _ in _COMPARED])
 
 
 @query("s12_formula_cells", """SELECT k, coalesce(CASE WHEN regexp_matches(v, '^[=+@-]') THEN '''' || v ELSE v END, '') AS cell
