@@ -64,8 +64,10 @@ def _ingested(spark: SparkSession, sf: str) -> str:
         folder = f"{shared_dir(spark)}/sirenlens/stream-{uuid.uuid4().hex}"
         reg = sample.registry(spark)
         plans = materialize(V.panel_plans(reg, V.number_leaves(V.interpret_leaves(reg))), "panel-plans")
+        owned = _scope(spark)
         for stream in _arrivals(spark, sf, f"{folder}/in", late=True):
-            S.ingest(alerts_from_table(stream), _scope(spark), plans, f"{folder}/facts", K.DAY_US)
+            rows = stream.withColumn("ts", c("ts").cast("timestamp"))
+            S.ingest(rows, lambda batch: owned(alerts_from_table(batch)), plans, f"{folder}/facts", K.DAY_US)
         _folders[key] = f"{folder}/facts"
     return _folders[key]
 

@@ -27,7 +27,7 @@ from sirenlens.operators import rowfacts as R
 from sirenlens.operators import suppression as V
 from sirenlens.operators import volume as D
 from sirenlens.plans.team_week import Analysis, Facts, facts_of
-from sirenlens.session import state_partitions
+from sirenlens.session import state_partitions, together
 from sirenlens.sources.registry import Registry
 from sirenlens.sources.schema import IDENTITY
 
@@ -53,17 +53,14 @@ PROGRESS = "max_us BIGINT, late BIGINT, kept BIGINT"
 MANIFEST = "run STRING, level INT"
 
 
-def partials_of(owned: DataFrame, plans: DataFrame) -> dict[str, DataFrame]:
-    """What a set of rows contributes to the facts; ``merged`` adds such tables up."""
-    rows = R.narrow_rows(owned, plans)
-    last, first = R.newest(rows), R.first_findings(rows)
+def counts_of(rows: DataFrame) -> dict[str, DataFrame]:
+    """What a set of narrow rows contributes to the facts; ``MERGE`` adds such tables up."""
     return {
         "signatures": V.signatures_of(rows),
         "instants": E.instants_of(rows),
         "scopes": D.scopes_of(rows),
-        "newest": last,
-        "first_findings": first,
-        "shown": R.shown_rows(owned, last, first),
+        "newest": R.newest(rows),
+        "first_findings": R.first_findings(rows),
     }
 
 
@@ -121,8 +118,22 @@ class Log:
         return last.select(*ID, "ts").union(first.select(*ID, c("first_ts").alias("ts"))).distinct()
 
     def write(self, run: str, tables: dict[str, DataFrame]) -> None:
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.folder}/runs/{run}/{name}")
+        folder = f"{self.folder}/runs/{run}"
+        together(*[lambda n=n, df=df: df.write.mode("overwrite").parquet(f"{folder}/{n}") for n, df in tables.items()])
+
+    def write_partials(self, run: str, owned: DataFrame, plans: DataFrame) -> None:
+        """The partial facts of a batch's owned rows, in two passes over them: one judges every row, and all
+        counts read what it wrote; one fetches the rows that are shown."""
+        self.write(run, {"rows": R.narrow_rows(owned, plans)})
+        self.write(run, counts_of(self.spark.read.parquet(f"{self.folder}/runs/{run}/rows")))
+        last, first = self.read("newest", [run]), self.read("first_findings", [run])
+        self.write(run, {"shown": R.shown_rows(owned, last, first)})
+        self._drop(f"{run}/rows")
+
+    def _drop(self, name: str) -> None:
+        system, path = fs.FileSystem.from_uri(f"{self.folder}/runs/{name}")
+        if system.get_file_info(path).type != fs.FileType.NotFound:
+            system.delete_dir(path)
 
     def add(self, version: int, run: str) -> None:
         """Add a written run, merge levels that are full, commit, and drop what no replay can ask for.
@@ -141,9 +152,7 @@ class Log:
         # a replay of this batch needs the manifest before it, and makes what this step has made anew
         gone = ({r for r, _ in self.manifest(below=version - 1)} | made) - {r for r, _ in [*before, *runs]}
         for name in gone:
-            system, path = fs.FileSystem.from_uri(f"{self.folder}/runs/{name}")
-            if system.get_file_info(path).type != fs.FileType.NotFound:
-                system.delete_dir(path)
+            self._drop(name)
 
 
 def watermark_us(spark: SparkSession, folder: str, batch_id: int | None, delay_us: int) -> int | None:
@@ -159,37 +168,37 @@ def watermark_us(spark: SparkSession, folder: str, batch_id: int | None, delay_u
 
 
 def ingest_batch(scope, plans: DataFrame, folder: str, delay_us: int):
-    """The foreachBatch step. ``scope`` maps a micro-batch of alerts to owned rows."""
+    """The foreachBatch step. ``scope`` maps a micro-batch to owned alerts.
+
+    A micro-batch is computed whole by each pass over it, whatever columns that needs. So it should be the
+    source's rows with their instant ``ts``; ``scope`` makes alerts of them.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         mark = watermark_us(spark, folder, batch_id, delay_us)
-        rows = batch.persist()
-        try:
-            late = F.lit(False) if mark is None else F.unix_micros("ts") < mark
-            progress = rows.agg(
-                F.max(F.unix_micros("ts")).alias("max_us"),
-                F.count_if(late).alias("late"),
-                F.count_if(~late).alias("kept"),
-            )
-            log, run = Log(spark, folder), f"batch-{batch_id:09d}"
-            log.write(run, partials_of(scope(rows.where(~late)), plans))
-            log.add(batch_id, run)
-            # progress last: it marks the batch complete for the batches after it
-            progress.write.mode("overwrite").parquet(f"{folder}/progress/batch={batch_id}")
-        finally:
-            rows.unpersist()
+        late = F.lit(False) if mark is None else F.unix_micros("ts") < mark
+        progress = batch.agg(
+            F.max(F.unix_micros("ts")).alias("max_us"),
+            F.count_if(late).alias("late"),
+            F.count_if(~late).alias("kept"),
+        )
+        log, run = Log(spark, folder), f"batch-{batch_id:09d}"
+        log.write_partials(run, scope(batch.where(~late)), plans)
+        log.add(batch_id, run)
+        # progress last: it marks the batch complete for the batches after it
+        progress.write.mode("overwrite").parquet(f"{folder}/progress/batch={batch_id}")
 
     return step
 
 
 def ingest(
-    alerts: DataFrame, scope, plans: DataFrame, folder: str, delay_us: int, partitions: int | None = None
+    rows: DataFrame, scope, plans: DataFrame, folder: str, delay_us: int, partitions: int | None = None
 ) -> None:
     """Drain the available input into partial facts and stop."""
-    with state_partitions(alerts.sparkSession, partitions):
+    with state_partitions(rows.sparkSession, partitions):
         (
-            alerts.writeStream.foreachBatch(ingest_batch(scope, plans, folder, delay_us))
+            rows.writeStream.foreachBatch(ingest_batch(scope, plans, folder, delay_us))
             .option("checkpointLocation", f"{folder}/checkpoint")
             .trigger(availableNow=True)
             .start()
