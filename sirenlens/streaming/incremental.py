@@ -249,7 +249,7 @@ class StreamAnalysis(Analysis):
 
     @cached_property
     def episodes(self) -> DataFrame:
-        return self._keep(E.firing_of_instants(self._of_runs("instants")), "episodes")
+        return self._keep(E.firing_of_instants(self._of_runs("instants"), keep=self._keep), "episodes")
 
     @cached_property
     def scope_days(self) -> DataFrame:
